@@ -67,3 +67,19 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], bucket: Colu
         .withColumn(name, (F.col("_base") + F.col("_rank")).cast("long"))
         .drop("_bucket", "_rank", "_base", "_b", *[f"_g{i}" for i in range(len(group))])
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, holdout: int, rows: int) -> DataFrame:
+    """About `rows` documents (doc_id, text, label) for fitting: a bounded sample by a hash of the id.
+
+    Only labels of ids whose crc32 is not divisible by `holdout` are looked at. Null ids and labels are left
+    out; of several labels of an id the largest counts.
+    """
+    known = (
+        labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (id_crc() % holdout != 0))
+        .groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    )
+    number = known.count()
+    if number > rows:
+        known = known.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(1e6 * rows / number))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")

@@ -15,12 +15,24 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.langid import predict_documents
+
+    return predict_documents(load(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.packing import pack_documents
 
     return pack_documents(load(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.quality import rate_documents
+
+    return rate_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.bpe import digest_documents
 
@@ -33,10 +45,19 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.toxicity import rate_documents
+
+    return rate_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_bpe": op7_bpe,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
