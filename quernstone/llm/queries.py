@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernstone.llm import line_dedup, quality_rules
 from quernstone.llm.common import load
 
 
@@ -15,6 +16,15 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quernstone.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.col("removed_chunks").cast("long").alias("removed_chunks"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.langid import predict_documents
 
@@ -27,6 +37,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.quality_rules import rate_documents
+
+    return rate_documents(load(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.quality import rate_documents
 
@@ -52,12 +68,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_bpe": op7_bpe,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
