@@ -49,6 +49,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.ann import search
+
+    vectors = load(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.bpe import digest_documents
 
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_bpe": op7_bpe,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
