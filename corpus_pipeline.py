@@ -1,8 +1,65 @@
-"""The corpus pipeline: quality rules, quality classifier, line dedup, n-gram Jaccard join, best-fit packing."""
+"""The corpus pipeline: quality rules, quality classifier, line dedup, n-gram Jaccard join, best-fit packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs, with the columns of documents; the last
+one returns the packed pieces. Stages are written as Parquet in between.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quernstone.llm.jaccard import keep_one
+from quernstone.llm.line_dedup import dedup_documents
+from quernstone.llm.packing import pack_documents
+from quernstone.llm.quality import fit, score_documents
+from quernstone.llm.quality_rules import keep_documents
+from quernstone.llm.queries import vocabulary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_documents(docs)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_documents(docs, fit(docs, labels)).filter("gam_predicted = 1").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup_documents(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, vocabulary())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The classifier is trained, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; in between they are Parquet in the folder of spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{base}/pipeline-{uuid.uuid4().hex}/{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import line_dedup, quality_rules
+from quernstone.llm import jaccard, line_dedup, quality_rules
 from quernstone.llm.common import load
 
 
@@ -62,6 +62,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(load(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.jaccard import link_documents
+
+    return link_documents(load(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.sharding import shard_documents
 
@@ -82,8 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_bpe": op7_bpe,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op8_jaccard_join": jaccard.ORACLE_SQL}
