@@ -49,7 +49,7 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 def _counts(chunk: Column) -> Column:
     """Whether a chunk is one to look for: several lines with a word, or one of many words."""
-    several = F.regexp_like(chunk, F.lit(r"(?s)[^\x20\x09-\x0D][^\n]*\n.*[^\x20\x09-\x0D]"))
+    several = F.size(F.filter(F.split(chunk, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))) > 1
     return several | ((F.length(chunk) > 2 * LONG_WORDS) & (F.size(F.split(chunk, r"[\x20\x09-\x0D]+")) > LONG_WORDS))
 
 
@@ -63,12 +63,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     names = [c for c in docs.columns if c != "removed_chunks"]
     base = docs.select("doc_id", "text").filter(F.col("text").contains("\n") | (F.length("text") > 2 * LONG_WORDS))
-    places = (
-        chunked(base).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode("_chunks").alias("place", "chunk"))
-        .filter(_counts(F.col("chunk"))).withColumn("h", F.xxhash64("chunk"))
-    )
-    again = checkpointed(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    found = checkpointed(places.join(maybe_broadcast(again, again.count()), "h", "left_semi"))
+    hashes = F.transform("_chunks", lambda x: F.when(_counts(x), F.xxhash64(x)))
+    places = chunked(base).select("doc_id", F.xxhash64("text").alias("th"), F.explode(hashes).alias("h")).filter("h is not null")
+    places = checkpointed(places)
+    again = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    affected = checkpointed(places.join(again, "h", "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    few = maybe_broadcast(affected, affected.count())
+    found = base.withColumn("th", F.xxhash64("text")).join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
+    found = chunked(found).select("doc_id", "th", F.posexplode("_chunks").alias("place", "chunk")).filter(_counts(F.col("chunk"))).withColumn("h", F.xxhash64("chunk"))
+    found = checkpointed(found)
     first = found.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "place", "th")).alias("first"))
     marks = (
         found.join(first, ["h", "chunk"])
