@@ -17,15 +17,23 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
     """Write df to the reliable folder of spark.checkpoint.dir and cut its lineage; executors may be lost afterwards.
 
-    The session names the folder. Only where it names none, as in tests, a temporary one is set.
+    The session names the folder. Only where it names none, as in tests, a temporary one is set. arrow_rows bounds
+    the rows that Python workers get at a time meanwhile, for rows that hold long texts or sets.
     """
-    sc = df.sparkSession.sparkContext
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(key)
+    if arrow_rows:
+        spark.conf.set(key, str(arrow_rows))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import checkpointed, maybe_broadcast
+from quernstone.llm.common import BROADCAST_ROWS, checkpointed, maybe_broadcast
 
 WORDS, PERCENT = 5, 75
 #: Counters of the sketch that orders shingles by how common they are; 16 slices of them are summed apart.
@@ -100,13 +100,12 @@ def profile(docs: DataFrame) -> DataFrame:
     def run(batches):
         counts, seen = np.zeros(1 << COUNTER_BITS, dtype=np.uint32), False
         for b in batches:
-            n, key, found = [], [], []
+            n, key = [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t)
-                n.append(len(s)), key.append(_digest(s) if len(s) else None), found.append(s)
-            at = np.concatenate(found) >> np.uint64(64 - COUNTER_BITS) if found else np.zeros(0, dtype=np.uint64)
-            counts += np.bincount(at.astype(np.int64), minlength=1 << COUNTER_BITS).astype(np.uint32)
-            seen = seen or len(at) > 0
+                n.append(len(s)), key.append(_digest(s) if len(s) else None)
+                np.add.at(counts, (s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), np.uint32(1))
+            seen = seen or any(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if seen:
             packed = [_pack(counts[i * _SLICE : (i + 1) * _SLICE]) for i in range(SLICES)]
@@ -117,9 +116,10 @@ def profile(docs: DataFrame) -> DataFrame:
 
 
 def levels(profiles: DataFrame) -> bytes:
-    """How far each counter stands above chance, a byte for each, compressed: 0 for nearly all.
+    """How far each counter stands above the mean, in eighths of its deviation, a byte for each.
 
-    The counters are of a fixed number, so what reaches the driver does not grow with the corpus.
+    A shingle of several texts stands behind most of those that share its counter with single ones only. The
+    counters are of a fixed number, so what reaches the driver and the tasks does not grow with the corpus.
     """
 
     def run(batches):
@@ -134,16 +134,15 @@ def levels(profiles: DataFrame) -> bytes:
     for r in got:
         counts[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint64)
     mean = counts.mean()
-    above = counts - mean
-    out = np.where(above > 8 + 8 * np.sqrt(mean), np.floor(4 * np.log2(np.maximum(above, 1))), 0)
-    return zlib.compress(np.minimum(out, 255).astype(np.uint8).tobytes(), 9)
+    steps = 8 * (counts - mean) / np.sqrt(mean + 1)
+    return np.clip(np.rint(steps) + 100, 0, 255).astype(np.uint8).tobytes()
 
 
 def short_lists(docs: DataFrame, level: bytes) -> DataFrame:
     """Postings (h, doc, n) of each text's short lists: its rarest n - T + 1 shingles. Equal sets are posted once a task."""
 
     def run(batches):
-        table, seen = np.frombuffer(zlib.decompress(level), dtype=np.uint8), set()
+        table, seen = np.frombuffer(level, dtype=np.uint8), set()
         for b in batches:
             h, doc, n, held = [], [], [], 0
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -165,20 +164,97 @@ def short_lists(docs: DataFrame, level: bytes) -> DataFrame:
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
-    """The postings of lists with several documents, each set of equal lists once, with the list's first document."""
+    """The postings of lists with several documents: h, doc, n, times and the list's leader (lead, lead_n).
+
+    Equal lists are kept once, with their number. The leader is the member that shares the most postings with
+    others: in a group of edited copies that is the text they were made from, or one close to it.
+    """
     w = Window.partitionBy("h")
-    first = F.min(F.struct("doc", "n")).over(w)
-    own = postings.withColumn("first", first).withColumn("last", F.max("doc").over(w)).filter(F.col("first.doc") < F.col("last"))
-    own = checkpointed(own.select("h", "doc", "n", F.col("first.doc").alias("lead"), F.col("first.n").alias("lead_n")))
+    own = postings.withColumn("first", F.min("doc").over(w)).withColumn("last", F.max("doc").over(w)).filter("first < last")
+    own = checkpointed(own.select("h", "doc", "n"), 500)
     sign = own.groupBy("h").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("y"))
-    once = sign.groupBy("c", "x", "y").agg(F.min("h").alias("h")).select("h")
-    return checkpointed(own.join(once, "h"))
+    once = sign.groupBy("c", "x", "y").agg(F.min("h").alias("h"), F.count("*").alias("times"))
+    lists = checkpointed(own.join(once.select("h", "times", "c"), "h"))
+    share = lists.groupBy("doc").agg(F.sum(F.col("times") * F.col("c")).alias("share"))
+    lead = lists.join(share, "doc").groupBy("h").agg(F.max(F.struct("share", -F.col("doc"), "n")).alias("best"))
+    lead = lead.select("h", (-F.col("best.col2")).alias("lead"), F.col("best.n").alias("lead_n"))
+    return checkpointed(lists.drop("c").join(lead, "h"))
 
 
 def close_sizes(a: str, b: str):
     return 100 * F.least(F.col(a), F.col(b)) >= PERCENT * F.greatest(F.col(a), F.col(b))
 
 
+def often_enough(a: str, b: str, times: str):
+    """T-occurrence in the short lists: what both texts share elsewhere is less than the larger T of the two.
+
+    Up to the smaller end of the two texts' short lists, a shared shingle stands in short lists of both; beyond it,
+    one of the texts has fewer than its T shingles left.
+    """
+    whole = (PERCENT * (F.col(a) + F.col(b)) + 99 + PERCENT).cast("long")
+    overlap = F.floor(whole / (100 + PERCENT))
+    longer = F.floor((PERCENT * F.greatest(F.col(a), F.col(b)) + 99) / 100)
+    return F.col(times) >= overlap - longer + 1
+
+
+#: Members of a list in one bucket, on average at most.
+BUCKET_ROWS = 2000
+
+
+def occurrences(lists: DataFrame) -> DataFrame:
+    """T-occurrence search across components: pairs (a > b) that occur in enough short lists (h, doc, n, times, comp).
+
+    A document searches for partners in components with smaller numbers. It gets its lists, in buckets of bounded
+    size by a hash of the members, merges those of a bucket and counts each member's occurrences, so neither
+    the members of a list nor the pairs of a list are ever rows.
+    """
+    ends = lists.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).filter("low < high")
+    ends = checkpointed(ends)
+    longest = ends.agg(F.max("c")).first()[0] or 1
+    buckets = -(-longest // BUCKET_ROWS)
+    open_ = checkpointed(lists.join(ends.select("h", "low"), "h"))
+    member = F.struct("doc", "n", "comp")
+    blocks = open_.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int")).groupBy("h", "bucket").agg(F.sort_array(F.collect_list(member)).alias("members"))
+    asks = open_.filter("comp > low").select("h", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), "times")
+    fetched = asks.join(blocks, "h").select("a", "bucket", "an", "ac", "times", "members").repartition("a", "bucket").sortWithinPartitions("a", "bucket")
+
+    def merged(rows: list[tuple]):
+        """Partners of one document in one bucket."""
+        an, ac = rows[0][2], rows[0][3]
+        docs, first, at = np.unique(np.concatenate([r[5] for r in rows]), return_index=True, return_inverse=True)
+        times = np.bincount(at, np.repeat([r[4] for r in rows], [len(r[5]) for r in rows]))
+        n, comp = np.concatenate([r[6] for r in rows])[first], np.concatenate([r[7] for r in rows])[first]
+        fits = (comp < ac) & (100 * np.minimum(n, an) >= PERCENT * np.maximum(n, an))
+        overlap, longer = -(-PERCENT * (n + an) // (100 + PERCENT)), -(-PERCENT * np.maximum(n, an) // 100)
+        return docs[fits & (times >= overlap - longer + 1)]
+
+    def run(batches):
+        held: list[tuple] = []
+        for b in batches:
+            a, b_ = [], []
+            members = b.column("members")
+            bounds, inner = members.offsets.to_numpy(), members.values
+            parts = [inner.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            heads = zip(*(b.column(c).to_pylist() for c in ("a", "bucket", "an", "ac", "times")), strict=True)
+            for k, head in enumerate(heads):
+                if held and held[0][:2] != head[:2]:
+                    found = merged(held)
+                    a.append(np.full(len(found), held[0][0])), b_.append(found)
+                    held = []
+                held.append((*head, *(p[bounds[k] : bounds[k + 1]].copy() for p in parts)))
+            if a:
+                yield pair_batch(a, b_)
+        if held:
+            found = merged(held)
+            yield pair_batch([np.full(len(found), held[0][0])], [found])
+
+    def pair_batch(a, b):
+        a, b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return fetched.mapInArrow(run, "a long, b long").distinct()
+
+
 def probe(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose overlap reaches the similarity; pairs must be checkpointed."""
     ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
@@ -189,7 +265,7 @@ def probe(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     few = maybe_broadcast(ids, ids.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi")
-    found = checkpointed(texts.mapInArrow(sets, "id long, s binary"))
+    found = checkpointed(texts.mapInArrow(sets, "id long, s binary"), 500)
 
     def count(batches):
         for b in batches:
@@ -207,7 +283,7 @@ def probe(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
     sa, sb = (found.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
-    return checkpointed(pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long"))
+    return checkpointed(pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long"), 200)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,22 +314,24 @@ def link_documents(docs: DataFrame) -> DataFrame:
     row with its own n_shingles. An empty table gives no rows; other columns are ignored. Similarities at the
     threshold itself are links.
     """
-    profiles = checkpointed(profile(docs))
+    profiles = checkpointed(profile(docs), 500)
     own = profiles.filter("slice is null").select("doc_id", F.col("n").alias("n_shingles"), "key")
     texts = own.filter("doc_id is not null and n_shingles > 0")
     least = texts.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_top")).filter("b < _top")
     copies = checkpointed(texts.join(least, "key").filter("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct())
-    lists = shared_lists(short_lists(docs, levels(profiles)))
-    stars = lists.filter("doc > lead").filter(close_sizes("n", "lead_n")).select(F.col("doc").alias("a"), F.col("lead").alias("b"))
-    stars = checkpointed(stars.distinct())
+    posted = docs
+    if (number := copies.count()) and number <= BROADCAST_ROWS:  # copies of a set need not be posted again; more are told in each task
+        single = texts.groupBy("doc_id").count().filter("count = 1").select("doc_id")
+        again = copies.select(F.col("a").alias("doc_id")).join(single, "doc_id", "left_semi")
+        posted = docs.select("doc_id", "text").join(F.broadcast(again), "doc_id", "left_anti")
+    lists = shared_lists(short_lists(posted, levels(profiles)))
+    stars = lists.filter("doc != lead").filter(close_sizes("n", "lead_n")).groupBy(F.col("doc").alias("a"), F.col("lead").alias("b"), "n", "lead_n").agg(F.sum("times").alias("c"))
+    stars = stars.filter(often_enough("n", "lead_n", "c")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    stars = checkpointed(stars)
     links = copies.union(probe(docs, stars))
     comp = checkpointed(components(links))
-    marked = lists.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "n", F.coalesce("comp", "doc").alias("comp"))
-    open_ = marked.groupBy("h").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("h")
-    marked = checkpointed(marked.join(open_, "h"))
-    left, right = marked.select("h", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac")), marked.select("h", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-    rest = left.join(right, "h").filter("a > b and ac != bc").filter(close_sizes("an", "bn")).select("a", "b").distinct()
-    rest = checkpointed(rest.join(stars, ["a", "b"], "left_anti"))
+    marked = lists.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "n", "times", F.coalesce("comp", "doc").alias("comp"))
+    rest = checkpointed(occurrences(marked).join(stars, ["a", "b"], "left_anti"), 200)
     comp = components(links.union(probe(docs, rest)))
     return own.join(comp, own["doc_id"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
