@@ -26,11 +26,11 @@ WORD_OR_GAP = regex.compile(WORD.pattern + "| ")
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: Words whose encodings a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Longer fragments are merged by a heap, one at a time.
 FLAT_SYMBOLS = 64
 #: Characters of text that are encoded together.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -215,8 +215,8 @@ class Memo:
             if len(self.known) + len(new) > self.limit:  # keep what has come again
                 self.known = {c: self.known[c] for c in every.difference(new)}
             new = list(new)
-            for k in range(0, len(new), 50_000):
-                part = new[k : k + 50_000]
+            for k in range(0, len(new), 20_000):
+                part = new[k : k + 20_000]
                 self.known.update(zip(part, self.make(*self.bpe.encode_chunks(part)), strict=True))
             yield from group
 

@@ -213,4 +213,4 @@ def pack_documents(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFram
     texts are one token, the end id. Repeated rows are packed each; ties in length are dealt by doc_id. An empty
     table gives no rows. Other columns of docs are ignored.
     """
-    return pack_pieces(checkpointed(tokenised_pieces(docs, path, size)), size)
+    return pack_pieces(checkpointed(tokenised_pieces(docs, path, size), 1000), size)

@@ -64,7 +64,7 @@ def measure(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def measures(words: Column) -> Column:
-        lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
+        lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
@@ -76,7 +76,8 @@ def measure(docs: DataFrame) -> DataFrame:
         )
 
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    return docs.withColumn("_m", bind(words, measures))
+    # a generated row keeps the optimizer from taking the measures anew for every use of one of them
+    return docs.withColumn("_m", F.explode(F.array(bind(words, measures))))
 
 
 def ratios(m: str = "_m.") -> dict[str, Column]:

@@ -70,7 +70,7 @@ class Matcher:
     def __init__(self, entries, exceptions=EXCEPTIONS):
         known: dict[str, tuple[str, str]] = {}
         for e in sorted(entries):
-            known.setdefault(e.rstrip("*"), (e, "stem" if e.endswith("*") else "word"))
+            known.setdefault(fold(e.rstrip("*")), (e, "stem" if e.endswith("*") else "word"))
         for e in exceptions:
             known[fold(e)] = (fold(e), "spare")
         self.automaton = ahocorasick.Automaton()
