@@ -320,60 +320,100 @@ def _root(s: Summary | None) -> bytes:
     return EMPTY if s is None else _hashes([s])[0]
 
 
-def mpt_parts(df: DataFrame, prefix: int, key: str = "k", value: str = "v") -> DataFrame:
-    """Summaries by the first `prefix` nibbles; shorter keys are kept as they are."""
+#: Most nibbles of prefix that parts are dealt by, and how far a part may exceed the average before more are taken.
+MAX_PREFIX, UNEVEN = 24, 4
+
+
+@dataclass(frozen=True)
+class MptLayout:
+    """What all keys begin with (nibbles), and how many nibbles after it deal the entries into parts."""
+
+    common: bytes
+    prefix: int
+
+
+def mpt_layout(df: DataFrame, key: str = "k", part_rows: int = PART_ROWS) -> MptLayout:
+    """As many nibbles as keep every part within bounds; keys over MAX_KEY bytes are refused."""
+    row = df.agg(F.count("*").alias("n"), F.max(F.octet_length(key)).alias("most"), F.min(F.hex(key)).alias("low"), F.max(F.hex(key)).alias("high")).first()
+    if (row["most"] or 0) > MAX_KEY:
+        raise TrieError(f"a key has more than {MAX_KEY} bytes")
+    if not row["n"]:
+        return MptLayout(b"", 0)
+    n = next((i for i, (a, b) in enumerate(zip(row["low"], row["high"], strict=False)) if a != b), min(len(row["low"]), len(row["high"])))
+    prefix = 0
+    while row["n"] > part_rows * 16**prefix:
+        prefix += 1
+    while 0 < prefix < MAX_PREFIX:
+        largest = df.groupBy(F.substring(F.hex(key), n + 1, prefix)).count().agg(F.max("count")).first()[0]
+        if largest <= UNEVEN * part_rows:
+            break
+        prefix += 1
+    return MptLayout(bytes(int(c, 16) for c in row["low"][:n]), prefix)
+
+
+_PART = "prefix binary, path binary, value binary, branch binary"
+
+
+def mpt_parts(df: DataFrame, layout: MptLayout, key: str = "k", value: str = "v") -> DataFrame:
+    """Summaries by the first nibbles after the common ones; shorter keys are kept as they are."""
+    skip, prefix = len(layout.common), layout.prefix
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = sorted((nibbles(bytes(k)), bytes(v)) for k, v in zip(pdf["k"], pdf["v"], strict=True))
+        items = sorted((nibbles(bytes(k))[skip:], bytes(v)) for k, v in zip(pdf["k"], pdf["v"], strict=True))
         head = items[0][0][:prefix]
         if len(items[0][0]) < prefix:
             return pd.DataFrame([(head, b"", items[0][1], None)], columns=["prefix", "path", "value", "branch"])
         return pd.DataFrame([(head, *mpt_summary(items, prefix))], columns=["prefix", "path", "value", "branch"])
 
     rows = df.select(F.col(key).alias("k"), F.col(value).alias("v"))
-    return rows.groupBy(F.substring(F.hex("k"), 1, prefix).alias("_p")).applyInPandas(run, "prefix binary, path binary, value binary, branch binary")
+    return rows.groupBy(F.substring(F.hex("k"), skip + 1, prefix).alias("_p")).applyInPandas(run, _PART)
+
+
+def _part(row) -> tuple[bytes, Summary]:
+    some = lambda x: None if x is None else bytes(x)
+    return bytes(row.prefix), (bytes(row.path), some(row.value), some(row.branch))
 
 
-def mpt_fold_up(parts: DataFrame, prefix: int) -> DataFrame:
-    """Summaries of one nibble of prefix less."""
+def _fold_summaries(rows: dict[bytes, Summary], top: int, down: int) -> dict[bytes, Summary]:
+    """Summaries that stand at `top` nibbles, or at the end of a shorter key, folded to `down` nibbles."""
+    for d in range(top - 1, down - 1, -1):
+        children: dict[bytes, dict[int, Summary]] = defaultdict(dict)
+        for p in [p for p in rows if len(p) == d + 1]:
+            children[p[:d]][p[d]] = rows.pop(p)
+        for p, kids in children.items():
+            own = rows.pop(p, None)
+            rows[p] = mpt_join(kids, own[1] if own else None)
+    return rows
+
+
+def mpt_fold(parts: DataFrame, top: int, down: int) -> DataFrame:
+    """Parts of `down` nibbles of prefix."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        children: dict[int, Summary] = {}
-        own, head = None, b""
-        for r in pdf.itertuples():
-            p, entry = bytes(r.prefix), (bytes(r.path), None if r.value is None else bytes(r.value), None if r.branch is None else bytes(r.branch))
-            head = p[: prefix - 1]
-            if len(p) == prefix:
-                children[p[-1]] = entry
-            else:
-                own = entry[1]
-        return pd.DataFrame([(head, *mpt_join(children, own))], columns=["prefix", "path", "value", "branch"])
-
-    return parts.groupBy(F.substring("prefix", 1, prefix - 1).alias("_p")).applyInPandas(lambda pdf: run(pdf), "prefix binary, path binary, value binary, branch binary")
-
-
-def _checked_keys(df: DataFrame, key: str) -> int:
-    row = df.agg(F.count("*").alias("n"), F.max(F.octet_length(key)).alias("most")).first()
-    if (row["most"] or 0) > MAX_KEY:
-        raise TrieError(f"a key has more than {MAX_KEY} bytes")
-    return row["n"]
+        rows = _fold_summaries(dict(_part(r) for r in pdf.itertuples()), top, down)
+        return pd.DataFrame([(p, *s) for p, s in rows.items()], columns=["prefix", "path", "value", "branch"])
 
+    return parts.groupBy(F.substring("prefix", 1, down).alias("_p")).applyInPandas(lambda pdf: run(pdf), _PART)
 
-def mpt_prefix(rows: int, part_rows: int = PART_ROWS) -> int:
-    out = 0
-    while rows > part_rows * 16**out:
-        out += 1
-    return out
+
+#: Nibbles that are folded in one step: at most 16^4 summaries meet in a task.
+STEP = 4
+
+
+def _folded(parts: DataFrame, top: int, down: int) -> DataFrame:
+    while top > down:
+        parts, top = mpt_fold(parts, top, max(down, top - STEP)), max(down, top - STEP)
+    return parts
 
 
 def mpt_root(df: DataFrame, key: str = "k", value: str = "v", part_rows: int = PART_ROWS) -> bytes:
-    """Root of unique binary entries; 32 zero bytes for none. Parts that hold long common prefixes go to one task."""
-    prefix = mpt_prefix(_checked_keys(df, key), part_rows)
-    parts = mpt_parts(df, prefix, key, value)
-    while prefix:
-        parts, prefix = mpt_fold_up(parts, prefix), prefix - 1
-    row = parts.first()
-    return EMPTY if row is None else _root((bytes(row["path"]), None if row["value"] is None else bytes(row["value"]), None if row["branch"] is None else bytes(row["branch"])))
+    """Root of unique binary entries; 32 zero bytes for none."""
+    layout = mpt_layout(df, key, part_rows)
+    row = _folded(mpt_parts(df, layout, key, value), layout.prefix, 0).first()
+    if row is None:
+        return EMPTY
+    path, leaf, branch = _part(row)[1]
+    return _root((layout.common + path, leaf, branch))
 
 
 def mpt_prove(df: DataFrame, wanted: bytes, key: str = "k", value: str = "v", part_rows: int = PART_ROWS) -> MptProof:
@@ -381,30 +421,31 @@ def mpt_prove(df: DataFrame, wanted: bytes, key: str = "k", value: str = "v", pa
 
     On each nibble of prefix the parts beside the path are summaries; below it the key's own part is read.
     """
-    prefix = mpt_prefix(_checked_keys(df, key), part_rows)
-    path = nibbles(wanted)
-    as_summary = lambda r: (bytes(r["path"]), None if r["value"] is None else bytes(r["value"]), None if r["branch"] is None else bytes(r["branch"]))
+    layout = mpt_layout(df, key, part_rows)
+    skip, prefix, path = len(layout.common), layout.prefix, nibbles(wanted)
+    inside = path[:skip] == layout.common
     levels: dict[int, tuple[dict[int, Summary], bytes | None]] = {}
-    parts = mpt_parts(df, prefix, key, value)
+    parts = mpt_parts(df, layout, key, value)
     for p in range(prefix, 0, -1):
-        near = parts.filter(F.substring("prefix", 1, p - 1) == F.lit(path[: p - 1])).collect()
-        children = {bytes(r["prefix"])[-1]: as_summary(r) for r in near if len(r["prefix"]) == p}
-        levels[p - 1] = children, next((as_summary(r)[1] for r in near if len(r["prefix"]) == p - 1), None)
-        parts = mpt_fold_up(parts, p)
-    mine = df.filter(F.substring(F.hex(key), 1, prefix) == F.lit(path.hex()[1::2].upper()[:prefix])) if prefix else df
-    items = sorted((nibbles(bytes(r[key])), bytes(r[value])) for r in mine.select(key, value).collect())
+        near = [_part(r) for r in parts.filter(F.substring("prefix", 1, p - 1) == F.lit(path[skip : skip + p - 1])).collect()] if inside or p == 1 else []
+        levels[p - 1] = {h[-1]: s for h, s in near if len(h) == p}, next((s[1] for h, s in near if len(h) == p - 1), None)
+        parts = mpt_fold(parts, p, p - 1)
+    mine = df.filter(F.substring(F.hex(key), skip + 1, prefix) == F.lit(path.hex()[1::2].upper()[skip : skip + prefix])) if prefix else df
+    items = sorted((nibbles(bytes(r[key])), bytes(r[value])) for r in mine.select(key, value).collect()) if inside or not prefix else []
 
     def at(d: int) -> tuple[dict[int, Summary], bytes | None]:
         """Children and value at the key's own place of depth d."""
-        if d < prefix:
-            return levels.get(d, ({}, None))
-        here = [x for x in items if x[0][:d] == path[:d]]
+        if d - skip < prefix:
+            return levels.get(d - skip, ({}, None))
+        here = [x for x in items if x[0][:d] == path[:d]] if d > skip else items
         children = {n: mpt_summary([x for x in here if len(x[0]) > d and x[0][d] == n], d + 1) for n in sorted({x[0][d] for x in here if len(x[0]) > d})}
         return children, next((v for p, v in here if len(p) == d), None)
 
     nodes: list[bytes] = []
     d = 0
-    whole = mpt_join(*at(0))
+    whole = mpt_join(*at(skip))
+    if whole is not None:
+        whole = (layout.common + whole[0], *whole[1:])
     while whole is not None:
         over, leaf, branch = whole
         if leaf is not None:
@@ -524,7 +565,7 @@ class TrieCalculator:
     def batch_update(self, ops: DataFrame) -> None:
         """Apply (k, v) in which a null v removes; keys are unique. Of an SMT only touched parts are hashed again."""
         if self.kind == "mpt":
-            _checked_keys(ops, "k")
+            mpt_layout(ops)
         self.df = self.df.join(ops.select("k"), "k", "left_anti").unionByName(ops.filter("v is not null").select("k", "v"))
         if self._parts is not None:
             touched = ops.select(F.substring(keccak256_column("k"), 1, self._prefix).alias("prefix")).distinct()

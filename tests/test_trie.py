@@ -79,6 +79,17 @@ def test_parts_do_not_change_roots(spark):
     assert trie.mpt_root(df) == trie.mpt_root(df, part_rows=10) == plain_mpt(kv)
 
 
+def test_keys_with_a_common_beginning(spark):
+    kv = {b"\x80\x00\x00" + k: v for k, v in some(120, 5).items() if k}
+    df = frame(spark, kv).cache()
+    layout = trie.mpt_layout(df, part_rows=10)
+    assert layout.common[:6] == bytes([8, 0, 0, 0, 0, 0]) and layout.prefix >= 1
+    assert trie.mpt_root(df, part_rows=10) == plain_mpt(kv)
+    for key in [*list(kv)[:3], b"", b"\x80\x00\x00", b"\x80\x01", b"\x80\x00\x00zz"]:
+        q = trie.mpt_prove(df, key, part_rows=10)
+        assert q.value == kv.get(key) and trie.mpt_verify(plain_mpt(kv), q)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.binary(max_size=4), st.binary(max_size=3), max_size=12))
 def test_local_folds(kv):
