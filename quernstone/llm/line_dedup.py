@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import checkpointed, maybe_broadcast, md5_int
 from quernstone.llm.quality_rules import bind
 
-#: Lines that the rolling hash spans, and one place in how many ends a chunk.
-SPAN, ONE_IN = 2, 2
-#: A chunk counts if it has several lines, or more words than this in one.
+#: Lines that the rolling hash spans, and the bits of it that cut: each bit ends a chunk at every second line, so a
+#: passage that one bit cuts badly another one cuts well.
+SPAN, BITS = 2, (7, 8, 9, 10)
+#: A chunk counts if it has several lines with a word, or more words than this.
 LONG_WORDS = 50
 HASH_BITS = 52
 
@@ -31,20 +32,29 @@ def _rolled(h: Column, i: Column) -> Column:
 
 
 def _chunks(lines: Column) -> Column:
+    """start, stop (line numbers, both included) and text of the chunks of all bits that may count, each span once."""
+    last = F.size(lines) - 1
+
     def spans(ends: Column) -> Column:
         return F.transform(ends, lambda e, j: F.struct((F.coalesce(F.get(ends, j - 1), F.lit(-1)) + 1).alias("start"), e.alias("stop")))
 
-    def texts(s: Column) -> Column:
-        return F.transform(s, lambda x: F.array_join(F.slice(lines, x["start"] + 1, x["stop"] - x["start"] + 1), "\n"))
+    def cut(r: Column, bit: int) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.shiftright(F.get(r, i), bit), F.lit(2)) == 0))
+        return bind(ends, spans)
 
-    last = F.size(lines) - 1
-    ends = lambda h: F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.shiftright(_rolled(h, i), 7), F.lit(ONE_IN)) == 0))
-    return bind(F.transform(lines, lambda x: md5_int(x, 13)), lambda h: bind(bind(ends(h), spans), texts))
+    def texts(r: Column) -> Column:
+        every = F.array_distinct(F.concat(*[cut(r, bit) for bit in BITS]))
+        large = F.filter(every, lambda s: (s["stop"] > s["start"]) | (F.length(F.get(lines, s["start"])) > 2 * LONG_WORDS))
+        return F.transform(large, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.array_join(F.slice(lines, s["start"] + 1, s["stop"] - s["start"] + 1), "\n").alias("text")))
+
+    rolled = bind(F.transform(lines, lambda x: md5_int(x, 13)), lambda h: F.transform(h, lambda _, i: _rolled(h, i)))
+    return bind(rolled, texts)
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """Add _chunks, an array of the text's chunks; joined by line ends they are the text again."""
-    return docs.withColumn("_chunks", bind(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _chunks))
+    """Add _chunks, an array of the text's chunks that count."""
+    found = bind(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _chunks)
+    return docs.withColumn("_chunks", F.filter(found, lambda c: _counts(c["text"])))
 
 
 def _counts(chunk: Column) -> Column:
@@ -54,42 +64,42 @@ def _counts(chunk: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks removed from text, and the column removed_chunks.
+    """docs with the lines of repeated chunks removed from text, and the column removed_lines.
 
-    The first place in order of doc_id, then of place in the text, keeps a chunk. Null ids come first and count as one id;
-    rows with the same id and text are one document, cut alike. A null text stays null. A text that loses all
-    its chunks becomes empty. Very long texts are worked on whole. An empty table gives no rows. Columns other
-    than doc_id and text stay as they are; a column removed_chunks would be replaced.
+    The first place in order of doc_id, then of place in the text, keeps a chunk; so the first place of every line
+    stays. Null ids come first and count as one id; rows with the same id and text are one document, cut alike. A null
+    text stays null. A text that loses all its lines becomes empty. Very long texts are worked on whole. An empty
+    table gives no rows. Columns other than doc_id and text stay as they are; a column removed_lines would be replaced.
     """
-    names = [c for c in docs.columns if c != "removed_chunks"]
+    names = [c for c in docs.columns if c != "removed_lines"]
     base = docs.select("doc_id", "text").filter(F.col("text").contains("\n") | (F.length("text") > 2 * LONG_WORDS))
-    hashes = F.transform("_chunks", lambda x: F.when(_counts(x), F.xxhash64(x)))
-    places = chunked(base).select("doc_id", F.xxhash64("text").alias("th"), F.explode(hashes).alias("h")).filter("h is not null")
+    places = chunked(base).select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.transform("_chunks", lambda c: F.xxhash64(c["text"]))).alias("h"))
     places = checkpointed(places)
     again = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     affected = checkpointed(places.join(again, "h", "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
     few = maybe_broadcast(affected, affected.count())
     found = base.withColumn("th", F.xxhash64("text")).join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
-    found = chunked(found).select("doc_id", "th", F.posexplode("_chunks").alias("place", "chunk")).filter(_counts(F.col("chunk"))).withColumn("h", F.xxhash64("chunk"))
-    found = checkpointed(found)
-    first = found.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "place", "th")).alias("first"))
+    found = chunked(found).select("doc_id", "th", F.explode("_chunks").alias("c")).select("doc_id", "th", "c.start", "c.stop", F.col("c.text").alias("chunk"))
+    found = found.withColumn("h", F.xxhash64("chunk"))
+    found = checkpointed(found.join(maybe_broadcast(again, affected.count()), "h", "left_semi"))
+    first = found.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "start", "th")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     marks = (
         found.join(first, ["h", "chunk"])
-        .filter(~F.struct(F.col("doc_id"), F.col("place"), F.col("th")).eqNullSafe(F.col("first")))
-        .select("doc_id", "th", "place").distinct()
-        .groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("place").alias("_gone"))
+        .filter(~F.struct(F.col("doc_id"), F.col("start"), F.col("th")).eqNullSafe(F.col("first")))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+        .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "stop")))).alias("_gone"))
     )
     marks = checkpointed(marks)
     marks = maybe_broadcast(marks, marks.count(), 200_000)
     joined = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("_h", F.xxhash64("text")).join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    kept = lambda c: F.array_join(F.filter(c, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    cut = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(bind(bind(F.split("text", "\n"), _chunks), kept))
-    return joined.withColumn("text", cut).withColumn("removed_chunks", F.coalesce(F.size("_gone"), F.lit(0))).select(*[F.col(f"`{c}`") for c in names], "removed_chunks")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    cut = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    return joined.withColumn("text", cut).withColumn("removed_lines", F.coalesce(F.size("_gone"), F.lit(0))).select(*[F.col(f"`{c}`") for c in names], "removed_lines")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """dedup_lines() for documents: n_chars follows the text."""
-    out = dedup_lines(docs).withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    out = dedup_lines(docs).withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -98,12 +108,12 @@ ORACLE_SQL = f"""
 WITH l AS (SELECT doc_id, n, i, line, CAST('0x' || substr(md5(line), 1, 13) AS BIGINT) AS h FROM (
     SELECT doc_id, len(ls) AS n, unnest(range(0, len(ls))) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
 p AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) AS g FROM l),
-e AS (SELECT *, i = n - 1 OR (xor(((g & {(1 << (HASH_BITS - 1)) - 1}) << 1) | (g >> {HASH_BITS - 1}), h) >> 7) % {ONE_IN} = 0 AS stop FROM p),
-c AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e),
-k AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, place),
-f AS (SELECT doc_id, place, chunk, (SELECT count(*) FROM (SELECT unnest(string_split(chunk, chr(10))) AS x) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')) > 1
-    OR (length(chunk) > {2 * LONG_WORDS} AND len(string_split_regex(chunk, '[\\x20\\x09-\\x0D]+')) > {LONG_WORDS}) AS counts FROM k),
-r AS (SELECT *, CASE WHEN counts THEN row_number() OVER (PARTITION BY counts, chunk ORDER BY doc_id, place) ELSE 1 END AS nth FROM f)
-SELECT d.doc_id, md5(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE nth = 1), '')) AS text_md5,
-    CAST(count(*) FILTER (WHERE nth > 1) AS BIGINT) AS removed_chunks FROM documents d JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id
+e AS (SELECT *, bit, i = n - 1 OR (xor(((g & {(1 << (HASH_BITS - 1)) - 1}) << 1) | (g >> {HASH_BITS - 1}), h) >> bit) % 2 = 0 AS stop FROM p, (VALUES {', '.join(f'({b})' for b in BITS)}) b(bit)),
+c AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id, bit ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e),
+k AS (SELECT doc_id, min(i) AS a, max(i) AS z, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) FILTER (WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')) AS full_lines FROM c GROUP BY doc_id, bit, place),
+f AS (SELECT DISTINCT doc_id, a, z, chunk FROM k WHERE full_lines > 1 OR (length(chunk) > {2 * LONG_WORDS} AND len(string_split_regex(chunk, '[\\x20\\x09-\\x0D]+')) > {LONG_WORDS})),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) AS nth FROM f),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM r WHERE nth > 1)
+SELECT l.doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '')) AS text_md5,
+    CAST(count(gone.i) AS BIGINT) AS removed_lines FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id
 """

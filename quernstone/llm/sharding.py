@@ -100,3 +100,33 @@ def shard_documents(docs: DataFrame, shards: int = 16, rows: int | None = None)
     buckets = max(1, ceil(rows / shards / RANK_BUCKET_ROWS) * 4)
     out = gapless_rank(placed, ["shard"], ["doc_id", "text_crc32", "size"], bucket, buckets, "slot")
     return out.select("doc_id", "size", "text_crc32", "law", "region", "rack", "shard", "slot", "grown_shard")
+
+
+def _sql(leaves: list[Leaf]) -> str:
+    """The shard of a key `k` in SQL."""
+    def winner(level: str, nodes: dict[int, float]) -> str:
+        draws = ", ".join(f"{{'d': -ln((CAST('0x' || substr(md5('{level}{n}/' || k), 1, {DIGITS}) AS BIGINT) + 0.5) / {16**DIGITS}) / {w}, 'n': {n}}}" for n, w in sorted(nodes.items()))
+        return f"(list_sort([{draws}])[1]).n"
+
+    regions, racks, shards = {}, {}, {}
+    for x in leaves:
+        regions[x.region] = regions.get(x.region, 0.0) + x.weight
+        racks.setdefault(x.region, {})[x.rack] = racks.get(x.region, {}).get(x.rack, 0.0) + x.weight
+        shards.setdefault(x.rack, {})[x.shard] = x.weight
+    pick = lambda parent, level, of: f"CASE {parent} " + " ".join(f"WHEN {p} THEN {winner(level, x)}" for p, x in of.items()) + " END"
+    return f"SELECT *, {pick('rack', 'shard', shards)} AS shard FROM (SELECT *, {pick('region', 'rack', racks)} AS rack FROM (SELECT *, {winner('region', regions)} AS region FROM d))"
+
+
+#: The same in SQL for 16 shards; crc32 is a fold over the bytes with its table of 256 values.
+ORACLE_SQL = f"""
+WITH RECURSIVE g(n, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM g WHERE k < 8),
+t AS MATERIALIZED (SELECT list(c ORDER BY n) AS tab FROM g WHERE k = 8),
+x AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda v: CAST('0x' || v AS BIGINT)) AS bytes FROM documents),
+d AS MATERIALIZED (SELECT doc_id, k, CAST(len(bytes) + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, v: xor(a >> 8, tab[(xor(a, v) & 255) + 1])), 4294967295) AS text_crc32 FROM x, t),
+a AS ({_sql(topology(16))}), b AS (SELECT DISTINCT k, shard AS grown_shard FROM ({_sql(topology(17))})),
+n AS (SELECT greatest(1, CAST(ceil(count(*) / 16 / {RANK_BUCKET_ROWS}) * 4 AS BIGINT)) AS buckets FROM documents)
+SELECT doc_id, size, text_crc32, 'key' AS law, region, rack, shard,
+    row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5('slot/' || k), 1, 10) AS BIGINT) % buckets, doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM a JOIN b USING (k), n
+"""
