@@ -22,7 +22,7 @@ SKETCH_K = 4096
 LEAST_ROWS = 50
 #: The fence of each ratio: third quartile + SPREAD * (third quartile - first quartile) + its slack.
 SPREAD = 6.0
-SLACK = {"symbol_ratio": 0.03, "upper_ratio": 0.10, "dup_line_ratio": 0.25, "repeat_ratio": 0.15}
+SLACK = {"symbol_ratio": 0.03, "upper_ratio": 0.25, "dup_line_ratio": 0.34, "repeat_ratio": 0.20}
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
 
