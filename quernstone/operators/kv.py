@@ -65,6 +65,20 @@ def key_range(df: DataFrame, key: str, low: Any = None, high: Any = None, low_op
     return out.orderBy(F.desc(key) if reverse else F.asc(key)) if ordered else out
 
 
+def prefix_scan(df: DataFrame, key: str, prefix: bytes | str) -> DataFrame:
+    """The entries whose binary or text key begins with a prefix, as a range that reaches the scan."""
+    end = prefix if isinstance(prefix, bytes) else prefix.encode()
+    while end and end[-1] == 0xFF:
+        end = end[:-1]
+    if not prefix:
+        return df
+    if isinstance(prefix, str):
+        return df.filter(F.col(key).startswith(prefix))
+    if not end:
+        return df.filter(F.col(key) >= F.lit(prefix))
+    return df.filter((F.col(key) >= F.lit(prefix)) & (F.col(key) < F.lit(end[:-1] + bytes([end[-1] + 1]))))
+
+
 def scan(df: DataFrame, key: str, reverse: bool = False) -> DataFrame:
     return df.orderBy(F.desc(key) if reverse else F.asc(key))
 

@@ -70,6 +70,11 @@ def kv_range_excl(spark, d):
     return kv.key_range(_orders(spark, d), "o_orderkey", 100, 5000, low_open=True, high_open=True)
 
 
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'red')")
+def kv_prefix_scan(spark, d):
+    return kv.prefix_scan(load(spark, d, "part").select("p_partkey", "p_name"), "p_name", "red")
+
+
 @query(f"{_ORDERS} ORDER BY o_orderkey LIMIT 1")
 def kv_first(spark, d):
     return kv.first(_orders(spark, d), "o_orderkey")

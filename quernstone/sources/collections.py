@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.errors import EncodingError
+from quernstone.errors import DecodeError, EncodingError
 from quernstone.operators import kv, slots
+from quernstone.operators.vectors import VectorConfig, VectorIndex
 from quernstone.sources.catalog import Catalog, InstanceId, Namespace
 
 
@@ -329,3 +330,31 @@ class SlotIndex(Stored):
 
     def tiers(self) -> DataFrame:
         return slots.tiers(self.df, "slot", self.capacity)
+
+
+class StoredVectors(Stored):
+    """A vector index in the catalog. A restore with another metric or dimension is refused."""
+
+    kind = "vectors"
+
+    @classmethod
+    def new(cls, catalog: Catalog, key: T.DataType, config: VectorConfig, ns: Namespace | None = None) -> StoredVectors:
+        schema = T.StructType([T.StructField("k", key), T.StructField("vec", T.ArrayType(T.DoubleType()))])
+        return cls(catalog, catalog.new_instance(cls.kind, schema, ns, {"config": dict(config.__dict__)}))
+
+    @classmethod
+    def from_meta(cls, catalog: Catalog, iid: InstanceId, metric: str | None = None, dim: int | None = None) -> StoredVectors:
+        config = catalog.instance(iid, cls.kind)["extra"]["config"]
+        if (metric or config["metric"]) != config["metric"] or (dim or config["dim"]) != config["dim"]:
+            raise DecodeError(f"instance {iid} is of another metric or dimension")
+        return cls(catalog, iid)
+
+    @property
+    def index(self) -> VectorIndex:
+        """The current snapshot as an index; its changes are kept by store()."""
+        return VectorIndex(self.df, VectorConfig(**self.catalog.instance(self.iid)["extra"]["config"]))
+
+    def store(self, index: VectorIndex) -> None:
+        self.catalog.write(self.iid, index.df, "k")
+        self.catalog.instance(self.iid)["extra"]["config"] = dict(index.config.__dict__)
+        self.catalog.commit()

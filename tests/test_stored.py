@@ -8,7 +8,10 @@ from quernstone.plans import history
 from quernstone.plans.proofs import ProvenRepository, entries
 from quernstone.plans.repository import Repository
 from quernstone.sources.catalog import Catalog, InstanceId
-from quernstone.sources.collections import Map, OrderedMap, RawKeyMap, RawMap, Single, SlotIndex
+from quernstone.operators import kv
+from quernstone.operators.vectors import VectorConfig
+from quernstone.sources.collections import Map, OrderedMap, RawKeyMap, RawMap, Single, SlotIndex, StoredVectors
+from quernstone.sources.snapshots import EMPTY_ROOT, SnapshotTree
 from quernstone.streaming.ingest import into_map, into_slots, slot_counts
 
 KV = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
@@ -230,3 +233,50 @@ def test_proven_repository(spark, catalog):
     key = (7 + 2**63).to_bytes(8, "big")
     proof = p.prove(key)
     assert proof.value == b"seven" and p.verify_proof(root, key, proof)
+
+
+def test_snapshot_tree(spark, catalog):
+    t = SnapshotTree.new(catalog, KV, "k")
+    a = t.insert(EMPTY_ROOT, 1, "a")
+    b = t.insert(a, 2, "b")
+    c = t.insert(b, 2, "b")
+    assert c != b and state(t.at(a)) == {1: "a"} and state(t.at(c)) == {1: "a", 2: "b"} and t.at(EMPTY_ROOT).isEmpty()
+    assert t.remove(b, 77) == b and t.remove(a, 1) == EMPTY_ROOT
+    d = t.remove(b, 1)
+    assert state(t.at(d)) == {2: "b"} and t.contains_key(b, 1) and not t.contains_key(d, 1) and [r.k for r in t.range(b, 1, 2, True).collect()] == [2]
+    rows = spark.createDataFrame([(1, "x", 0), (1, "y", 1), (5, "z", 2)], "k long, v string, n long")
+    e = t.bulk_load(rows, "n")
+    assert state(t.at(e)) == {1: "y", 5: "z"} and t.bulk_load(rows.limit(0)) == EMPTY_ROOT
+    with pytest.raises(OtherError):
+        t.bulk_load(rows.withColumn("n", -F.col("n")), "n")
+    for i in range(20):
+        e = t.insert(e, 100 + i, str(i))
+    assert t.at(e).count() == 22
+    t.acquire(a)
+    t.release(a)
+    assert state(t.at(a)) == {1: "a"}
+    t.release(a)
+    with pytest.raises(OtherError):
+        t.at(a)
+    t.rebuild_ref_counts([d, e])
+    assert t.gc() > 0 and state(t.at(d)) == {2: "b"} and t.at(e).count() == 22
+    assert state(SnapshotTree.from_meta(Catalog(spark, catalog.base_dir), t.iid, KV).at(d)) == {2: "b"}
+
+
+def test_stored_vectors(spark, catalog):
+    v = StoredVectors.new(catalog, T.StringType(), VectorConfig(2, "cosine"))
+    index = v.index
+    index.insert("a", [1.0, 0.0])
+    index.insert("b", [0.0, 1.0])
+    index.set_ef_search(99)
+    v.store(index)
+    again = StoredVectors.from_meta(Catalog(spark, catalog.base_dir), v.iid, "cosine")
+    assert [k for k, _ in again.index.search([1.0, 0.1], 1)] == ["a"] and again.index.config.ef_search == 99
+    with pytest.raises(DecodeError):
+        StoredVectors.from_meta(catalog, v.iid, "l2")
+
+
+def test_prefix_scan(spark):
+    df = spark.createDataFrame([(bytearray(x),) for x in (b"a", b"a\xff", b"ab", b"b", b"\xff\xff", b"")], "k binary")
+    of = lambda p: sorted(bytes(r.k) for r in kv.prefix_scan(df, "k", p).collect())
+    assert of(b"a") == [b"a", b"ab", b"a\xff"] and of(b"a\xff") == [b"a\xff"] and of(b"\xff") == [b"\xff\xff"] and len(of(b"")) == 6
