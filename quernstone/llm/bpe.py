@@ -22,11 +22,15 @@ from pyspark.sql import DataFrame
 #: The words' pattern of the public vocabulary file word_bpe_49k.json.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_OR_GAP = regex.compile(WORD.pattern + "| ")
+#: The same for lower-case ASCII text, which the standard library's engine reads twice as fast.
+ASCII_WORD_OR_GAP = re.compile(r"[a-z]+| |'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: White space of that file's normaliser. str.split() also cuts at U+001C to U+001F, which are none here.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: Words whose encodings a worker keeps.
 CACHE_WORDS = 300_000
+#: Places of the table of merges.
+TABLE_BITS = 18
 #: Longer fragments are merged by a heap, one at a time.
 FLAT_SYMBOLS = 64
 #: Characters of text that are encoded together.
@@ -72,8 +76,8 @@ class WordBPE:
         code = np.array([vocab[a] * n + vocab[b] for a, b in pairs], dtype=np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         self.rank_of = {c: (r, m) for r, (c, m) in enumerate(zip(code.tolist(), made.tolist(), strict=True))}
-        order = np.argsort(code)
-        self.codes, self.ranks, self.made = code[order], order.astype(np.int64), made
+        self.made = made
+        self._index(code)
         right = np.concatenate([self.inner, self.last])
         #: Rank of the pair of byte a and byte b (256 + b: byte b ends the word), or -1.
         self.first_rank = self._lookup(self.inner[:, None] * n + right[None, :])
@@ -87,10 +91,37 @@ class WordBPE:
                 self.joined[units[k], units[k + 1] + (256 if closed and k == len(units) - 2 else 0)] = True
         self.cache: dict[str, tuple[int, ...]] = {}
 
+    def _index(self, code: np.ndarray) -> None:
+        """A table with open addressing, sparse enough for one or two probes a pair."""
+        self.key = np.full(1 << TABLE_BITS, -1, dtype=np.int64)
+        self.rank = np.full(1 << TABLE_BITS, -1, dtype=np.int64)
+        at, left = self._place(code), np.arange(len(code))
+        while len(left):
+            free = self.key[at[left]] < 0
+            self.key[at[left[free]]] = code[left[free]]  # of several the last stays, the others go on
+            put = self.key[at[left]] == code[left]
+            self.rank[at[left[put]]] = left[put]
+            left = left[~put]
+            at[left] = (at[left] + 1) & ((1 << TABLE_BITS) - 1)
+
+    @staticmethod
+    def _place(code: np.ndarray) -> np.ndarray:
+        return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
     def _lookup(self, code: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, self.ranks[at], -1)
+        flat = code.ravel()
+        at = self._place(flat)
+        key = self.key[at]
+        out = np.where(key == flat, self.rank[at], -1)
+        left = np.flatnonzero((key != flat) & (key >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << TABLE_BITS) - 1)
+            key = self.key[at[left]]
+            hit = key == flat[left]
+            out[left[hit]] = self.rank[at[left[hit]]]
+            left = left[~hit & (key >= 0)]
+        return out.reshape(code.shape)
 
     def _merge_one(self, ids: list[int]) -> list[int]:
         """Merge one fragment with a heap of (rank, place): n log n for very long ones."""
@@ -163,12 +194,14 @@ class WordBPE:
         if self.special_split and self.special_split.search(text):
             flat = [self._with_special(c) for c in chunks]
             return np.array([i for x in flat for i in x], dtype=np.int64), np.cumsum([0, *map(len, flat)])
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words = WORD_OR_GAP.findall(text.lower())
+        if text.isascii():
+            words = ASCII_WORD_OR_GAP.findall(text.lower())
+            lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        else:
+            words = WORD_OR_GAP.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            lengths = np.fromiter(map(len, map(str.encode, words)), dtype=np.int64, count=len(words))
         if not words:
             return np.zeros(0, dtype=np.int64), np.zeros(len(chunks) + 1, dtype=np.int64)
-        lengths = np.fromiter(map(len, map(str.encode, words)), dtype=np.int64, count=len(words))
         data = np.frombuffer("".join(words).encode(), dtype=np.uint8).astype(np.int64)
         gap = data[np.cumsum(lengths) - lengths] == 32
         chunk_of = np.cumsum(gap)[~gap]
@@ -214,10 +247,10 @@ class Memo:
             new = every.difference(self.known)
             if len(self.known) + len(new) > self.limit:  # keep what has come again
                 self.known = {c: self.known[c] for c in every.difference(new)}
-            new = list(new)
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                self.known.update(zip(part, self.make(*self.bpe.encode_chunks(part)), strict=True))
+            for kind in ([c for c in new if c.isascii()], [c for c in new if not c.isascii()]):
+                for k in range(0, len(kind), 20_000):
+                    part = kind[k : k + 20_000]
+                    self.known.update(zip(part, self.make(*self.bpe.encode_chunks(part)), strict=True))
             yield from group
 
 
