@@ -104,7 +104,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
     sketches = checkpointed(own.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, SKETCH_K).alias(k) for k in SLACK]))
     merged = [F.kll_merge_agg_double(k, SKETCH_K).alias(k) for k in SLACK]
     by_lang = sketches.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
-    overall = sketches.agg(F.sum("n").alias("n"), *merged)
+    overall = sketches.groupBy(F.lit(0)).agg(F.sum("n").alias("n"), *merged)
 
     def fences(df: DataFrame, prefix: str) -> DataFrame:
         cut = {}
@@ -114,9 +114,9 @@ def thresholds(measured: DataFrame) -> DataFrame:
         keys = [c for c in ("lang", "source") if c in df.columns]
         return df.select(*keys, F.col("n").alias(f"{prefix}n"), *[v.alias(f"{prefix}{k}") for k, v in cut.items()])
 
-    a, b, c = fences(sketches, "s_"), fences(by_lang, "l_").withColumnRenamed("lang", "_lang"), fences(overall, "a_")
-    joined = a.join(b, F.col("lang").eqNullSafe(F.col("_lang"))).crossJoin(F.broadcast(c))
-    pick = lambda k: F.when(F.col("s_n") >= LEAST_ROWS, F.col(f"s_{k}")).when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{k}")).otherwise(F.col(f"a_{k}"))
+    a, b, every = fences(sketches, "s_"), fences(by_lang, "l_").withColumnRenamed("lang", "_lang"), fences(overall, "a_").first()
+    joined = a.join(b, F.col("lang").eqNullSafe(F.col("_lang")))
+    pick = lambda k: F.when(F.col("s_n") >= LEAST_ROWS, F.col(f"s_{k}")).when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{k}")).otherwise(F.lit(every[f"a_{k}"] if every else 0.0))
     return checkpointed(joined.select("lang", "source", *[pick(k).alias(f"max_{k}") for k in SLACK]))
 
 
