@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from quernstone.errors import OtherError
 
+#: Most node ids that are broadcast; beyond it the join shuffles.
+BROADCAST_NODES = 1_000_000
+
 
 def _parents(nodes: DataFrame) -> dict[int, int | None]:
     return {r["node_id"]: r["parent_id"] for r in nodes.select("node_id", "parent_id").toLocalIterator()}
@@ -36,7 +39,7 @@ def dead_value(v: str = "v") -> Column:
 
 def _depths(data: DataFrame, line: list[int]) -> DataFrame:
     depths = data.sparkSession.createDataFrame(list(enumerate(line)), T.StructType([T.StructField("depth", T.LongType()), T.StructField("node_id", T.LongType())]))
-    return data.join(F.broadcast(depths), "node_id")
+    return data.join(F.broadcast(depths) if len(line) <= BROADCAST_NODES else depths, "node_id")
 
 
 def view(nodes: DataFrame, data: DataFrame, head: int) -> DataFrame:
@@ -102,7 +105,8 @@ def _without(nodes: DataFrame, data: DataFrame, gone: set[int]) -> tuple[DataFra
     if not gone:
         return nodes, data
     ids = nodes.sparkSession.createDataFrame([(g,) for g in sorted(gone)], "node_id long")
-    return nodes.join(F.broadcast(ids), "node_id", "left_anti"), data.join(F.broadcast(ids), "node_id", "left_anti")
+    ids = F.broadcast(ids) if len(gone) <= BROADCAST_NODES else ids
+    return nodes.join(ids, "node_id", "left_anti"), data.join(ids, "node_id", "left_anti")
 
 
 def destroy(nodes: DataFrame, data: DataFrame, node: int) -> tuple[DataFrame, DataFrame]:
