@@ -104,7 +104,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
     sketches = checkpointed(own.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, SKETCH_K).alias(k) for k in SLACK]))
     merged = [F.kll_merge_agg_double(k, SKETCH_K).alias(k) for k in SLACK]
     by_lang = sketches.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
-    overall = sketches.groupBy(F.lit(0)).agg(F.sum("n").alias("n"), *merged)
+    overall = sketches.groupBy(F.lit("all").alias("_all")).agg(F.sum("n").alias("n"), *merged)
 
     def fences(df: DataFrame, prefix: str) -> DataFrame:
         cut = {}
