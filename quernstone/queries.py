@@ -289,8 +289,13 @@ def ver_fork_point(spark, d):
 _SLOTS = "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot, event_id FROM events"
 
 
+def _hour():
+    """Hours since 1970 of a time without zone, whatever the session's zone is."""
+    return F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) div 3600")
+
+
 def _slots(spark, d):
-    return load(spark, d, "events").select(F.expr("unix_seconds(cast(ts AS timestamp)) div 3600").alias("slot"), "event_id")
+    return load(spark, d, "events").select(_hour().alias("slot"), "event_id")
 
 
 
@@ -326,7 +331,7 @@ def slot_page_by_tiers(spark, d):
 
 @query("SELECT user_id, slot, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slot DESC, event_id) AS r FROM (SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot, event_id FROM events)) WHERE r > 2 AND r <= 4")
 def slot_page_by_group(spark, d):
-    index = load(spark, d, "events").select("user_id", F.expr("unix_seconds(cast(ts AS timestamp)) div 3600").alias("slot"), "event_id")
+    index = load(spark, d, "events").select("user_id", _hour().alias("slot"), "event_id")
     return slots.page_by_group(index, ["user_id"], "slot", "event_id", 2, 1, reverse=True)
 
 
