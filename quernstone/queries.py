@@ -101,13 +101,13 @@ def _asof(spark, d, forward=False, by=True, buckets=7):
     right = e.filter("event_type = 'click'").groupBy("user_id", F.col("ts").alias("click_ts")).agg(F.max("event_id").alias("click_id"))
     if not by:
         right = right.groupBy("click_ts").agg(F.max("click_id").alias("click_id"))
-    return kv.asof_join(left, right, "ts", "click_ts", ["click_id"], ["user_id"] if by else None, forward, buckets).select("event_id", "click_id")
+    return kv.asof_join(left, right, "ts", "click_ts", ["click_id"], ["user_id"] if by else None, forward, buckets).select("event_id", F.coalesce("click_id", F.lit(-1).cast("long")).alias("click_id"))
 
 
 def _asof_sql(op: str, by: bool) -> str:
     r = "SELECT user_id, ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY user_id, ts" if by else "SELECT ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY ts"
     on = "e.user_id = r.user_id AND " if by else ""
-    return f"SELECT e.event_id, r.click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN ({r}) r ON {on}e.ts {op} r.ts"
+    return f"SELECT e.event_id, coalesce(r.click_id, -1) AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN ({r}) r ON {on}e.ts {op} r.ts"
 
 
 @query(_asof_sql(">=", True))
@@ -400,9 +400,9 @@ def dag_prune(spark, d):
     return overlay.prune(*_overlay(spark, d), 3)[1]
 
 
-@query("SELECT CAST(1 AS BIGINT) AS node_id, CAST(NULL AS BIGINT) AS parent_id UNION ALL SELECT 5, 1")
+@query("SELECT CAST(1 AS BIGINT) AS node_id, CAST(0 AS BIGINT) AS parent_id UNION ALL SELECT 5, 1")
 def dag_prune_nodes(spark, d):
-    return overlay.prune(*_overlay(spark, d), 3)[0]
+    return overlay.prune(*_overlay(spark, d), 3)[0].fillna(0, "parent_id")
 
 
 @query(f"SELECT CAST(node_id AS BIGINT) AS node_id, k, v FROM ({_DATA}) WHERE node_id IN (1, 2, 4)")
@@ -514,11 +514,11 @@ def _proofs(spark, d, kind):
     for n in (0, 7, 24, 99):
         key = (n + (1 << 63)).to_bytes(8, "big")
         p = calc.prove(key)
-        rows.append((n, None if p.value is None else p.value.decode(), calc.verify(root, key, p)))
+        rows.append((n, "" if p.value is None else p.value.decode(), calc.verify(root, key, p)))
     return spark.createDataFrame(rows, "n_nationkey int, n_name string, proven boolean")
 
 
-_PROVEN = "SELECT CAST(k AS INT) AS n_nationkey, n_name, true AS proven FROM (VALUES (0), (7), (24), (99)) t(k) LEFT JOIN nation ON n_nationkey = k"
+_PROVEN = "SELECT CAST(k AS INT) AS n_nationkey, coalesce(n_name, '') AS n_name, true AS proven FROM (VALUES (0), (7), (24), (99)) t(k) LEFT JOIN nation ON n_nationkey = k"
 
 
 @query(_PROVEN)
