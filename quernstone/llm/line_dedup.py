@@ -90,7 +90,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "stop")))).alias("_gone"))
     )
     marks = checkpointed(marks)
-    marks = maybe_broadcast(marks, marks.count(), 200_000)
+    held = marks.agg(F.coalesce(F.sum(F.size("_gone") + 4), F.lit(0))).first()[0]  # numbers in all rows
+    marks = maybe_broadcast(marks, held)
     joined = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("_h", F.xxhash64("text")).join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     cut = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
