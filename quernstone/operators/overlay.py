@@ -17,7 +17,7 @@ BROADCAST_NODES = 1_000_000
 
 
 def _parents(nodes: DataFrame) -> dict[int, int | None]:
-    return {r["node_id"]: r["parent_id"] for r in nodes.select("node_id", "parent_id").toLocalIterator()}
+    return {r["node_id"]: r["parent_id"] for r in nodes.select("node_id", "parent_id").collect()}
 
 
 def chain(nodes: DataFrame, head: int) -> list[int] | None:

@@ -108,17 +108,20 @@ def smt_parts(leaves: DataFrame, prefix: int) -> DataFrame:
 
 
 def _fold_parts(rows: list[tuple[bytes, int, bytes, bytes]], depth: int, bottom: int) -> tuple[int, bytes, bytes]:
-    """n, a path and the hash at `depth` of sorted parts that stand at `bottom` bits."""
+    """n, a path and the hash at `depth` of sorted parts that stand at `bottom` bits; a level is hashed at once."""
     if not rows:
         return 0, b"", EMPTY
-    if depth == bottom or (len(rows) == 1 and rows[0][1] == 1):
-        return rows[0][1], rows[0][2], rows[0][3]
-    mid = _cut([r[2] for r in rows], 0, len(rows), depth)
-    a, b = _fold_parts(rows[:mid], depth + 1, bottom), _fold_parts(rows[mid:], depth + 1, bottom)
-    n = a[0] + b[0]
-    if n == 1:
-        return a if a[0] else b
-    return n, rows[0][2], keccak256(b"\x00" + a[2] + b[2])
+    here = [(int.from_bytes(path, "big") >> (256 - bottom), n, path, h) for _, n, path, h in rows]
+    for _ in range(bottom - depth):
+        pairs: dict[int, list] = defaultdict(lambda: [None, None])
+        for place, n, path, h in here:
+            pairs[place >> 1][place & 1] = (n, path, h)
+        alone = {p: kids[0] or kids[1] for p, kids in pairs.items() if sum(k[0] for k in kids if k) == 1}
+        inner = [p for p in pairs if p not in alone]
+        made = keccak256_many([b"\x00" + b"".join(k[2] if k else EMPTY for k in pairs[p]) for p in inner])
+        done = {p: (sum(k[0] for k in pairs[p] if k), (pairs[p][0] or pairs[p][1])[1], h) for p, h in zip(inner, made, strict=True)}
+        here = [(p, *x) for p, x in sorted({**alone, **done}.items())]
+    return here[0][1:]
 
 
 def smt_fold_up(parts: DataFrame, prefix: int) -> DataFrame:

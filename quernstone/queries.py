@@ -499,12 +499,12 @@ def trie_keccak(spark, d):
 
 @query()
 def trie_smt_root(spark, d):
-    return spark.createDataFrame([(trie.smt_root(_entries(spark, d), part_rows=200).hex(),)], "root string")
+    return spark.createDataFrame([(trie.smt_root(_entries(spark, d)).hex(),)], "root string")
 
 
 @query()
 def trie_mpt_root(spark, d):
-    return spark.createDataFrame([(trie.mpt_root(_entries(spark, d), part_rows=200).hex(),)], "root string")
+    return spark.createDataFrame([(trie.mpt_root(_entries(spark, d)).hex(),)], "root string")
 
 
 def _proofs(spark, d, kind):
