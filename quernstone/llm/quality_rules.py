@@ -2,8 +2,8 @@
 
 Every text gets its measures. For each measure, mergeable quantile sketches (KLL) are built per language and
 source; merged, they also give the sketches per language and overall, which stand in where a source has few
-rows. A measure's upper fence is its third quartile and a multiple of the distance from median and third quartile
-to the ninth decile; a text beyond a fence is rejected. Thresholds are joined back, so nothing is fixed but how far out is too far.
+rows. A measure's upper fence is its third quartile, a multiple of the distance between first and third quartile, and
+a fixed slack; a text beyond a fence is rejected. Where both quartiles are 0, the fence is the slack alone: a fixed cutoff.
 """
 
 from __future__ import annotations
