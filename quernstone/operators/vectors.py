@@ -172,23 +172,34 @@ class Graph:
         return self.beam(q, start, max(ef, k) if allowed is None else max(4 * ef, 2 * k), 0, allowed)[:k]
 
 
-def search_graph(vectors: DataFrame, queries: list[list[float]], k: int, config: VectorConfig, key: str = "k", vec: str = "vec", where: Column | None = None, part_rows: int = 20_000, ef: int | None = None) -> DataFrame:
-    """Approximate search: query (its place), key and distance. Each part of bounded size builds and searches a graph."""
-    kind = dict(vectors.dtypes)[key]
-    parts = max(1, -(-vectors.count() // part_rows))
-    rows = vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"), (F.lit(True) if where is None else where).alias("ok"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
-    asked, filtered = np.array(queries, dtype=np.float64), where is not None
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k", ignore_index=True)
-        graph = Graph(np.stack(pdf["v"].to_numpy()), config)
-        allowed = pdf["ok"].to_numpy() if filtered else None
-        out = [(i, pdf["k"][row], d) for i, q in enumerate(asked) for d, row in graph.search(q, k, ef or config.ef_search, allowed)]
-        return pd.DataFrame(out, columns=["query", "k", "distance"])
-
-    found = rows.groupBy("part").applyInPandas(run, f"query int, k {kind}, distance double")
-    w = Window.partitionBy("query").orderBy("distance", "k")
-    return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).select("query", F.col("k").alias(key), "distance")
+def search_graph(vectors: DataFrame, queries: DataFrame | list[list[float]], k: int, config: VectorConfig, key: str = "k", vec: str = "vec", where: Column | None = None, part_rows: int = 20_000, ef: int | None = None, query_key: str = "query", query_vec: str = "qvec", block: int = 16_384) -> DataFrame:
+    """Approximate search: query_key, key and distance. Each part of bounded size builds and searches a graph.
+
+    Queries are a DataFrame with unique keys, dealt into blocks of bounded size, and every part meets every block; a
+    part builds its graph anew for each block. A few queries can be a list; then their places are their keys.
+    """
+    if isinstance(queries, list):
+        queries = vectors.sparkSession.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(queries)], f"{query_key} int, {query_vec} array<double>")
+    kind, qkind = dict(vectors.dtypes)[key], dict(queries.dtypes)[query_key]
+    parts, blocks = max(1, -(-vectors.count() // part_rows)), max(1, -(-queries.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    rows = vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"), (F.lit(True) if where is None else where).alias("ok"), deal(key, parts).alias("part")).withColumn("block", every(blocks))
+    asked = queries.select(F.col(query_key).alias("q"), F.col(query_vec).cast("array<double>").alias("v"), deal(query_key, blocks).alias("block")).withColumn("part", every(parts))
+    filtered = where is not None
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"q": [], "k": [], "distance": []})
+        left = left.sort_values("k", ignore_index=True)
+        graph = Graph(np.stack(left["v"].to_numpy()), config)
+        allowed = left["ok"].to_numpy() if filtered else None
+        out = [(i, left["k"][row], d) for i, q in zip(right["q"], right["v"], strict=True) for d, row in graph.search(q, k, ef or config.ef_search, allowed)]
+        return pd.DataFrame(out, columns=["q", "k", "distance"])
+
+    found = rows.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInPandas(run, f"q {qkind}, k {kind}, distance double")
+    w = Window.partitionBy("q").orderBy("distance", "k")
+    return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).select(F.col("q").alias(query_key), F.col("k").alias(key), "distance")
 
 
 class VectorIndex:

@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quernstone import queries
 from quernstone.errors import OtherError
 from quernstone.functions import codec
 from quernstone.operators import kv, overlay, slots, vectors, versioned
@@ -210,6 +211,25 @@ def test_batch_and_graph_against_brute_force(spark, metric):
     assert only and all(r.k % 10 == 0 for r in only)
 
 
+def test_graph_takes_queries_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    x, q = rng.random((200, 8)), rng.random((20, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, vec array<double>")
+    asked = spark.createDataFrame([(100 * i, v.tolist()) for i, v in enumerate(q)], "q long, qvec array<double>")
+    config = vectors.VectorConfig(8)
+    whole = rows(vectors.search_graph(df, q.tolist(), 3, config, part_rows=80))
+    got = rows(vectors.search_graph(df, asked, 3, config, part_rows=80, query_key="q", block=6))
+    assert len(got) == 60 and got == [(100 * i, k, d) for i, k, d in whole]
+    assert vectors.search_graph(df, asked.limit(0), 3, config, query_key="q").isEmpty()
+
+
+def test_graph_query_asks_for_every_fiftieth_vector(spark):
+    d = "/root/testdata/sf0.001"
+    want = {r.vec_id for r in queries.load(spark, d, "embeddings").filter("vec_id % 50 = 0").collect()}
+    got = queries.vec_search_graph(spark, d).collect()
+    assert {r["query"] for r in got} == want and len(got) == 10 * len(want)
+
+
 def test_random_edit_history(spark):
     """Deltas put together give what a dict holds."""
     rnd = random.Random(4)
