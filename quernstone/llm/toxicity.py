@@ -33,6 +33,8 @@ LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "з": "e", "и": "u", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t",
     "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "α": "a", "β": "b", "ε": "e",
     "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "i", "ø": "o", "đ": "d",
+    "ꭺ": "a", "ᏼ": "b", "ꮟ": "b", "ꮯ": "c", "ꭰ": "d", "ꮷ": "d", "ꭼ": "e", "ꮐ": "g", "ꮋ": "h", "ꮒ": "h", "ꭵ": "i", "ꭻ": "j", "ꮶ": "k", "ꮮ": "i",
+    "ꮇ": "m", "ꮎ": "o", "ꮲ": "p", "ꭱ": "r", "ꮢ": "r", "ꮪ": "s", "ꭲ": "t", "ꮜ": "u", "ꮩ": "v", "ꮃ": "w", "ꮤ": "w", "ꭹ": "y", "ꮍ": "y", "ꮓ": "z",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "+": "t", "€": "e",
 }
 #: Bound on the sample of labelled texts that weights and calibration are fitted on.
@@ -45,19 +47,58 @@ STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W_]+")
 
 
+#: Most code points that stand for Latin letters or modify them lie below this; beyond are ideographs, tags and selectors.
+_END = 0x20000
+#: Names of letters that Unicode does not decompose: negative circled and squared ones, small capitals, strokes and hooks.
+_NAMED = re.compile(r"(?:NEGATIVE |CROSSED )?(?:CIRCLED |SQUARED )?LATIN (?:CAPITAL |SMALL |LETTER )*([A-Z])(?: WITH .*)?|REGIONAL INDICATOR SYMBOL LETTER ([A-Z])")
+
+
+def _latin(cp: int) -> str:
+    """The Latin letter or digit that a code point stands for, lower case, by its compatibility form or its name; or none."""
+    form = unicodedata.normalize("NFKD", chr(cp)).lstrip("(").lower()
+    if form[:1].isascii() and (form[:1].isalpha() or (form.isdigit() and len(form) == 1)):
+        return form[:1]
+    m = _NAMED.fullmatch(unicodedata.name(chr(cp), ""))
+    return (m[1] or m[2]).lower() if m else ""
+
+
 def fold_table() -> dict[int, str]:
     """One letter for one letter: lower case without marks, then lookalikes, then l as i."""
     out: dict[int, str] = {}
-    for cp in [*range(0x21, 0x530), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]:
-        base = unicodedata.normalize("NFKD", chr(cp))[:1].lower()
-        base = LOOKALIKES.get(chr(cp).lower(), LOOKALIKES.get(base, base))
+    near = {*range(0x21, 0x530), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)}
+    for cp in range(0x21, _END):
+        low = chr(cp).lower()
+        base = unicodedata.normalize("NFKD", chr(cp))[:1].lower() if cp in near else _latin(cp) or (low if low in LOOKALIKES else "")
+        base = LOOKALIKES.get(low, LOOKALIKES.get(base, base))
+        if cp in near and not base.isascii():
+            base = _latin(cp) or base
         base = "i" if base == "l" else base
         if len(base) == 1 and base != chr(cp):
             out[cp] = base
     return out
 
 
-_FOLD = fold_table()
+def bare_table() -> dict[int, str | None]:
+    """Combining and format characters are dropped, ligatures become their letters."""
+    out: dict[int, str | None] = {}
+    for cp in [*range(0x80, _END), *range(0xE0000, 0xE0200)]:
+        c = chr(cp)
+        kind, name = unicodedata.category(c), unicodedata.name(c, "")
+        if kind == "Cf" or (kind in ("Mn", "Me") and name.startswith(("COMBINING", "VARIATION SELECTOR"))):
+            out[cp] = None
+        elif c.isalpha():
+            form = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if len(form) > 1 and form.isascii() and form.isalpha():
+                out[cp] = form
+    return out
+
+
+_FOLD, _BARE = fold_table(), bare_table()
+
+
+def bare(text: str) -> str:
+    """The text without what can stand unseen inside a word."""
+    return text if text.isascii() else text.translate(_BARE)
 
 
 def fold(text: str) -> str:
@@ -79,6 +120,7 @@ class Matcher:
         self.automaton.make_automaton()
 
     def hits(self, text: str) -> list[str]:
+        text = bare(text)
         found, spared = [], []
         for end, (length, entry, kind) in self.automaton.iter(fold(text)):
             start = end - length + 1
@@ -90,7 +132,7 @@ class Matcher:
 
 def patterns(text: str) -> set[str]:
     """The words and stems of a text that may join a lexicon."""
-    words = {w for w in WORD.findall(fold(text)) if len(w) > 2}
+    words = {w for w in WORD.findall(fold(bare(text))) if len(w) > 2}
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k}
 
 

@@ -87,6 +87,14 @@ def test_matcher():
     assert len(toxicity.fold("ßİA1é́")) == 6
 
 
+def test_matcher_sees_through_disguises():
+    hits = toxicity.Matcher(["idiot", "filth"]).hits
+    for word in ("𝐢𝐝𝐢𝐨𝐭", "𝕀𝔻𝕀𝕆𝕋", "ⓘⓓⓘⓞⓣ", "🅸🅳🅸🅾🆃", "🇮🇩🇮🇴🇹", "⒤⒟⒤⒪⒯", "ɪᴅɪᴏᴛ", "ᎥᎠᎥᎾᎢ", "i\u0301di\u0308o\u0336t", "i\u200bd\u00adi\u2060ot\ufeff", "id\ufe0fiot", "ŀdiot"):
+        assert hits(f"an {word}, he said") == ["idiot"], word
+    assert hits("ﬁlth") == ["filth"] and hits("idiot™") == ["idiot"] and hits("x\u200bidiot idiot\u0301s") == []
+    assert toxicity.patterns("z\u0301o\u200br") == toxicity.patterns("zor")
+
+
 def test_toxicity(spark, documents):
     rnd = random.Random(5)
     rows, marks = [], []
