@@ -136,6 +136,13 @@ def patterns(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k}
 
 
+def sketch(text: str) -> int:
+    """The least hash of the text's runs of three words: near copies agree in it, texts that share a template hardly."""
+    words = WORD.findall(fold(bare(text)))
+    runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    return min(zlib.crc32(r.encode("utf-8", "replace")) for r in runs) >> 1
+
+
 def choose(seen: list[tuple[str, float]], base: set[str]) -> dict[str, float]:
     """Weights of a lexicon without repetition: no stems of base words, nothing that begins with a stem as telling."""
     out: dict[str, float] = {}
@@ -186,7 +193,7 @@ def calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learn weights and calibration from about `rows` labelled texts (crc32 of the id mod 5 not 0).
 
-    A new word needs support from texts that begin differently, so that copies of one text don't add words.
+    A new word needs support from texts of different sketches, so that copies of one text don't add words.
     Without labels all words weigh the same and the score stays below 0.5 without hits.
     """
     sample = checkpointed(labelled_sample(docs, labels, "toxic", 5, rows).filter(F.col("text").isNotNull()))
@@ -198,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                 if y:
                     own = patterns(t)
                     token += own
-                    key += [zlib.crc32(t[:60].encode("utf-8", "replace")) % 100_000] * len(own)
+                    key += [sketch(t)] * len(own)
                 else:
                     clean.update(patterns(t))
             names = [*token, *clean]

@@ -118,6 +118,17 @@ def test_toxicity(spark, documents):
     assert toxicity.rate_documents(documents([(1, "idiot"), (2, "calm")]), labels(spark, [])).orderBy("doc_id").collect()[1].predicted == 0
 
 
+def test_texts_of_one_template_each_support_a_word(spark, documents):
+    rnd = random.Random(7)
+    head = "Reply by a user of the forum on the topic of the day, number: "
+    texts = [(head + prose(rnd, "aa", 40) + " zorgle", 1) for _ in range(30)] + [(prose(rnd, "aa", 40), 0) for _ in range(60)]
+    copy = prose(rnd, "bb", 40) + " murfle "
+    texts += [(copy + prose(rnd, "cc", 1), 1) for _ in range(10)]
+    marks = labels(spark, [(i, 1, y) for i, (_, y) in enumerate(texts)])
+    words = toxicity.fit(documents([(i, t) for i, (t, _) in enumerate(texts)]), marks).weights
+    assert any("zorgie".startswith(w.rstrip("*")) for w in words) and not any("murfie".startswith(w.rstrip("*")) for w in words)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
