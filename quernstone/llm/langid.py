@@ -73,15 +73,39 @@ class Model:
         return self.languages[j], score, 1 - score <= MARGIN * self.radius[j]
 
 
+def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+    """IDF of the hashed n-grams over all texts with a letter; the driver gets one count for each place of DIM."""
+
+    def run(batches):
+        n, held = 0, np.zeros(DIM, dtype=np.int64)
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                if t and LETTER.search(t):
+                    n += 1
+                    held += counts(t) > 0
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *held[at].tolist()], pa.int64())], ["place", "n"])
+
+    found = docs.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    total, held = 0, np.zeros(DIM)
+    for r in found:
+        if r["place"] < 0:
+            total = r["n"]
+        else:
+            held[r["place"]] = r["n"]
+    return np.log((1 + total) / (1 + held)) + 1
+
+
 def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Model:
     """Fit on a bounded sample: about per_language rows of each value of lang, chosen by a hash of doc_id.
 
-    IDF is that of the sample too. Rows with a null lang or without a letter are not learned from.
+    IDF is counted over all rows. Rows with a null lang or without a letter are not learned from.
     """
     rows = docs.filter(F.col("lang").isNotNull())
     numbers = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not numbers:
         return Model([], np.ones(DIM), np.zeros((0, DIM)), np.zeros(0))
+    idf = inverse_frequencies(rows)
     share = F.create_map(*[F.lit(x) for lang, n in numbers.items() for x in (lang, int(1e6 * per_language / n) + 1)])
     rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
 
@@ -98,7 +122,6 @@ def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Model:
     langs = np.array([r["lang"] for r in got])
     order = np.lexsort([x.sum(axis=1), langs])
     x, langs = x[order], langs[order]
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
     x = unit(x * idf)
     names, centres, radii = [], [], []
     for lang in sorted(set(langs.tolist())):

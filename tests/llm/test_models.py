@@ -36,6 +36,13 @@ def test_languages(documents):
     assert langid.predict_documents(documents([(1, "text", None)])).first().lang_pred == "und"
 
 
+def test_idf_counts_all_rows_that_may_be_learned_from(documents):
+    rnd = random.Random(8)
+    rows = [(i, prose(rnd, lang := "aa" if i % 10 else "bb"), lang) for i in range(300)] + [(300, None, "aa"), (301, "12", "aa"), (302, prose(rnd, "cc"), None)]
+    held = sum((langid.counts(t) > 0).astype(int) for _, t, _ in rows[:300])
+    assert np.allclose(langid.fit(documents(rows), per_language=20).idf, np.log(301 / (1 + held)) + 1)
+
+
 def test_held_out_rows_are_not_learned_from(documents):
     rnd = random.Random(4)
     rows = [(i, prose(rnd, "aa"), "aa" if mod(i, 4) != 2 else "wrong") for i in range(80)]
