@@ -13,9 +13,11 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -27,8 +29,10 @@ ASCII_WORD_OR_GAP = re.compile(r"[a-z]+| |'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9
 #: White space of that file's normaliser. str.split() also cuts at U+001C to U+001F, which are none here.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: The part of it that is not ASCII.
+WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Words whose encodings a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Places of the table of merges.
 TABLE_BITS = 18
 #: Longer fragments are merged by a heap, one at a time.
@@ -194,22 +198,31 @@ class WordBPE:
         if self.special_split and self.special_split.search(text):
             flat = [self._with_special(c) for c in chunks]
             return np.array([i for x in flat for i in x], dtype=np.int64), np.cumsum([0, *map(len, flat)])
-        if text.isascii():
-            words = ASCII_WORD_OR_GAP.findall(text.lower())
-            lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        else:
-            words = WORD_OR_GAP.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-            lengths = np.fromiter(map(len, map(str.encode, words)), dtype=np.int64, count=len(words))
+        words, chunk_of = self.words_of(text)
         if not words:
             return np.zeros(0, dtype=np.int64), np.zeros(len(chunks) + 1, dtype=np.int64)
-        data = np.frombuffer("".join(words).encode(), dtype=np.uint8).astype(np.int64)
-        gap = data[np.cumsum(lengths) - lengths] == 32
-        chunk_of = np.cumsum(gap)[~gap]
-        if not len(chunk_of):
-            return np.zeros(0, dtype=np.int64), np.zeros(len(chunks) + 1, dtype=np.int64)
-        ids, word = self._encode_flat(data[data != 32], lengths[~gap])
+        ids, word = self.encode_words(words)
         return ids, np.searchsorted(chunk_of[word], np.arange(len(chunks) + 1))
 
+    @staticmethod
+    def words_of(text: str) -> tuple[list[str], np.ndarray]:
+        """The words of pieces that are joined by spaces, and the number of each word's piece."""
+        if text.isascii():
+            found = ASCII_WORD_OR_GAP.findall(text.lower())
+        else:
+            found = WORD_OR_GAP.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        words = [w for w in found if w != " "]
+        if len(words) == len(found):
+            return words, np.zeros(len(words), dtype=np.int64)
+        gap = np.fromiter(map(" ".__eq__, found), dtype=bool, count=len(found))
+        return words, np.cumsum(gap)[~gap]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and the word of each id."""
+        raw = [w.encode() for w in words]
+        lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        return self._encode_flat(np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64), lengths)
+
     def _with_special(self, chunk: str) -> list[int]:
         out: list[int] = []
         for part in self.special_split.split(chunk):
@@ -260,7 +273,93 @@ def as_bytes(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
+class Spans:
+    """Keys and, in one growing array, the ids of each of them."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.bounds, self.used = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 14, dtype=np.int64), 0
+
+    def add(self, keys: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
+        n = len(self.place)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(keys) >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.bounds[n + 1 : n + len(keys) + 1] = bounds[1:] + self.used
+        self.used += len(ids)
+        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the keys at these places, one key after the other, and the bounds of each key's ids."""
+        start = self.bounds[at]
+        n = self.bounds[at + 1] - start
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.ids[np.repeat(start - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
+class IdTable:
+    """Ids of whole columns of texts: each distinct word is encoded once, and each distinct piece put together once."""
+
+    def __init__(self, bpe: WordBPE, limit: int = CACHE_WORDS):
+        self.bpe, self.limit, self.pieces, self.words = bpe, limit, Spans(), Spans()
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """The place of each distinct piece, after the unknown ones are encoded; a full table starts anew."""
+        if len(self.words.place) > self.limit:
+            self.words = Spans()
+        if len(self.pieces.place) > self.limit:
+            self.pieces = Spans()
+        at = np.fromiter(map(self.pieces.place.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        unknown = np.flatnonzero(at < 0)
+        plain = np.fromiter((pieces[k].isascii() for k in unknown.tolist()), dtype=bool, count=len(unknown))
+        for kind in (unknown[plain], unknown[~plain]):
+            for k in range(0, len(kind), 20_000):
+                part = kind[k : k + 20_000]
+                at[part] = np.arange(len(part)) + len(self.pieces.place)
+                self._learn([pieces[i] for i in part.tolist()])
+        return at
+
+    def _learn(self, pieces: list[str]) -> None:
+        text = " ".join(pieces)
+        if self.bpe.special_split and self.bpe.special_split.search(text):
+            self.pieces.add(pieces, *self.bpe.encode_chunks(pieces))
+            return
+        words, piece_of = self.bpe.words_of(text)
+        if new := [w for w in dict.fromkeys(words) if w not in self.words.place]:
+            ids, word = self.bpe.encode_words(new)
+            self.words.add(new, ids, np.searchsorted(word, np.arange(len(new) + 1)))
+        at = np.fromiter(map(self.words.place.__getitem__, words), dtype=np.int64, count=len(words))
+        ids, ends = self.words.gather(at)
+        self.pieces.add(pieces, ids, ends[np.searchsorted(piece_of, np.arange(len(pieces) + 1))])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the bounds of each text's ids; a null text has none."""
+        texts = texts.fill_null("")
+        if pc.any(pc.match_substring_regex(texts, WIDE_SPACE)).as_py():
+            texts = pc.replace_substring_regex(texts, WIDE_SPACE, " ")
+        lists = pc.ascii_split_whitespace(texts)
+        pieces = lists.flatten().dictionary_encode()
+        at = self._places(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, ends = self.pieces.gather(at[pieces.indices.to_numpy()])
+        offsets = lists.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
+
+    def batches(self, texts: pa.Array, step: int = STEP_CHARS) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; texts of about `step` bytes are encoded together."""
+        sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + step, side="right")))
+            ids, bounds = self.encode(texts.slice(at, stop - at))
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield ids[a:b]
+            at = stop
+
+
 _LOADED: dict[str, WordBPE] = {}
+_TABLES: dict[str, IdTable] = {}
 
 
 def loaded(path: str) -> WordBPE:
@@ -270,6 +369,13 @@ def loaded(path: str) -> WordBPE:
     return _LOADED[path]
 
 
+def table(path: str) -> IdTable:
+    """The table of a vocabulary, kept by each Python process from one task to the next."""
+    if path not in _TABLES:
+        _TABLES[path] = IdTable(loaded(path))
+    return _TABLES[path]
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode every text: doc_id, ids (array of int) and decoded.
 

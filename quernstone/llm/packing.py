@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.bpe import Memo, as_bytes, loaded
+from quernstone.llm.bpe import table
 from quernstone.llm.common import RANK_BUCKET_ROWS, checkpointed, gapless_rank
 
 SEQUENCE = 2048
@@ -164,15 +164,14 @@ def tokenised_pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFr
     """Pieces of each document's ids and a last END_ID: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches):
-        bpe = loaded(path)
-        memo, end = Memo(bpe, as_bytes), END_ID.to_bytes(4, "little")
+        ids_of, end = table(path), np.array([END_ID], dtype=np.uint32)
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for k, chunks in enumerate(memo.batches(b.column("text").to_pylist())):
-                ids = b"".join(map(memo.known.__getitem__, chunks)) + end
-                for p, s in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[s : s + 4 * size]
-                    at.append(k), piece.append(p), start.append(s // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+            for k, own in enumerate(ids_of.batches(b.column("text"))):
+                ids = np.concatenate([own, end]).astype("<u4")
+                for p, s in enumerate(range(0, len(ids), size)):
+                    part = ids[s : s + size]
+                    at.append(k), piece.append(p), start.append(s), length.append(len(part)), crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
