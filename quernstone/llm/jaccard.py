@@ -1,48 +1,45 @@
 """N-gram Jaccard join by T-occurrence search (operator 8).
 
-Two texts of a and b distinct shingles that reach the similarity share at least T of them. As in DivideSkip, a
-text's inverted lists are divided: with T - 1 long lists set aside, a partner has to occur in the remaining
-short ones. Those are the lists of its rarest shingles, under one order of all shingles (counted by a sketch
-over the whole corpus, then by hash). The short lists alone are built; the shuffle that sorts them by shingle
-is the merge. Candidates are then probed in the long lists: a binary search for each of the text's shingles
-in the candidate's sorted set says whether it stands in that list, and the overlap decides.
-
-Only components are asked for, so a list first links its members to its first one; only members of lists that
-then still span several components are paired. No list is cut off and no candidate dropped.
+Two texts of a and b distinct shingles that reach the similarity share at least T of them. All shingles stand
+under one order, the rarest first (counted by a sketch over the whole corpus, then by hash); with its T - 1 last
+lists set aside, a text's partners have to occur in the rest. Only those lists are built for the whole corpus.
+
+A first round asks for one partner only, each list's leader. Only components are wanted, so lists whose members are
+then in one component are done. The members of the others are dealt into blocks of bounded size, those of one list
+side by side, and DivideSkip runs for every two blocks that share a list: it keeps one block's inverted lists of
+all its shingles, merges each query's short lists, probes the long ones by binary search for the candidates found,
+and retains those that reach the overlap of their sizes. No list is cut off and no candidate dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import BROADCAST_ROWS, checkpointed, maybe_broadcast
+from quernstone.llm.common import checkpointed, maybe_broadcast
 
 WORDS, PERCENT = 5, 75
 #: Counters of the sketch that orders shingles by how common they are; 16 slices of them are summed apart.
 COUNTER_BITS, SLICES = 22, 16
 _SLICE = (1 << COUNTER_BITS) // SLICES
+#: Parts that a list of the highest counters is dealt into.
+SALTS = 256
+#: Shingles of a block's texts, on average at most, and what a step from one class of sizes to the next multiplies sizes by.
+BLOCK_SHINGLES, CLASS_STEP = 250_000, 1.1
+#: The weight of a probe against a merge that decides how many lists are long (DivideSkip).
+PROBE_COST = 0.0085
 
-#: A random odd number for each byte value and an odd base: a hash of every stretch of bytes comes from prefix sums.
-_BYTE = np.random.default_rng(7).integers(1, 1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least n of each."""
-    if len(_powers[0]) < n:
-        size = max(1 << 17, 1 << (n - 1).bit_length())
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            row = np.full(size, base, dtype=np.uint64)
-            row[0] = 1
-            _powers[k] = np.cumprod(row)
-    return _powers[0], _powers[1]
+#: Seed of the words' hash, which has no structure that words could share, and two odd numbers that mix.
+SEED = 0x51ED2701A3C4B657
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+_word_hash = partial(xxhash.xxh3_64_intdigest, seed=SEED)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -50,22 +47,20 @@ def shingles(text: str | None) -> np.ndarray:
 
     A-Z are lower-cased; words are what stands between ASCII white space.
     """
-    data = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not data:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
         return np.zeros(0, dtype=np.uint64)
-    a = np.frombuffer(data, dtype=np.uint8)
-    up, down = _power(len(a) + 1)
-    sums = np.zeros(len(a) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[a] * up[: len(a)], out=sums[1:])
-    gaps = np.flatnonzero(a == 32)
-    start, stop = np.r_[0, gaps + 1], np.r_[gaps, len(a)]
-    k = min(WORDS, len(start))
-    start, stop = start[: len(start) - k + 1], stop[k - 1 :]
-    h = (sums[stop] - sums[start]) * down[start]
+    one = np.fromiter(map(_word_hash, words), dtype=np.uint64, count=len(words))
+    k = min(WORDS, len(words))
+    h = np.full(len(words) - k + 1, k, dtype=np.uint64)
+    for i in range(k):
+        h *= _MIX[0]
+        h += one[i : i + len(h)]
     h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h *= _MIX[1]
     h ^= h >> np.uint64(29)
-    return np.unique(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def required(n: int) -> int:
@@ -139,38 +134,50 @@ def levels(profiles: DataFrame) -> bytes:
 
 
 def short_lists(docs: DataFrame, level: bytes) -> DataFrame:
-    """Postings (h, doc, n) of each text's short lists: its rarest n - T + 1 shingles. Equal sets are posted once a task."""
+    """Postings (h, doc, n, salt) of each text's first lists: its rarest n - T + 1 shingles. Equal sets are posted once a task.
+
+    Salt deals the lists with the highest counters, which may hold any share of the rows, into SALTS parts; else it is 0.
+    """
 
     def run(batches):
         table, seen = np.frombuffer(level, dtype=np.uint8), set()
+        names = ["h", "doc", "n", "salt"]
+
+        def rows(parts):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in parts], names)
+
         for b in batches:
-            h, doc, n, held = [], [], [], 0
+            parts, held = ([], [], [], []), 0
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingles(t)
                 if i is None or not len(s) or (k := _digest(s)) in seen:
                     continue
                 seen.add(k)
                 p = len(s) - required(len(s)) + 1
-                at = np.lexsort((s, table[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))[:p]
-                h.append(s[at].view(np.int64)), doc.append(np.full(p, i)), n.append(np.full(p, len(s)))
+                height = table[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+                at = np.lexsort((s, height))[:p]
+                salt = np.where(height[at] == 255, 1 + zlib.crc32(k) % SALTS, 0)
+                for x, y in zip(parts, (s[at].view(np.int64), np.full(p, i), np.full(p, len(s)), salt), strict=True):
+                    x.append(y)
                 held += p
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (h, doc, n)], ["h", "doc", "n"])
-                    h, doc, n, held = [], [], [], 0
-            if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (h, doc, n)], ["h", "doc", "n"])
+                    yield rows(parts)
+                    parts, held = ([], [], [], []), 0
+            if held:
+                yield rows(parts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc long, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc long, n long, salt long")
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
     """The postings of lists with several documents: h, doc, n, times and the list's leader (lead, lead_n).
 
+    Salted lists are common ones, which are kept without a look at their members.
     Equal lists are kept once, with their number. The leader is the member that shares the most postings with
     others: in a group of edited copies that is the text they were made from, or one close to it.
     """
-    w = Window.partitionBy("h")
-    own = postings.withColumn("first", F.min("doc").over(w)).withColumn("last", F.max("doc").over(w)).filter("first < last")
+    w = Window.partitionBy("h", "salt")
+    own = postings.withColumn("first", F.min("doc").over(w)).withColumn("last", F.max("doc").over(w)).filter("first < last or salt > 0")
     own = checkpointed(own.select("h", "doc", "n"), 500)
     sign = own.groupBy("h").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("y"))
     once = sign.groupBy("c", "x", "y").agg(F.min("h").alias("h"), F.count("*").alias("times"))
@@ -197,67 +204,110 @@ def often_enough(a: str, b: str, times: str):
     return F.col(times) >= overlap - longer + 1
 
 
-#: Members of a list in one bucket, on average at most.
-BUCKET_ROWS = 2000
-
+def open_postings(lists: DataFrame) -> DataFrame:
+    """The postings (h, doc, n, times, comp) of lists that span components, each with its document's block.
 
-def occurrences(lists: DataFrame) -> DataFrame:
-    """T-occurrence search across components: pairs (a > b) that occur in enough short lists (h, doc, n, times, comp).
-
-    A document searches for partners in components with smaller numbers. It gets its lists, in buckets of bounded
-    size by a hash of the members, merges those of a bucket and counts each member's occurrences, so neither
-    the members of a list nor the pairs of a list are ever rows.
+    A document goes to the group of its largest list, where those that share passages meet; a group is dealt into as many
+    blocks as its shingles fill.
     """
-    ends = lists.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).filter("low < high")
-    ends = checkpointed(ends)
-    longest = ends.agg(F.max("c")).first()[0] or 1
-    buckets = -(-longest // BUCKET_ROWS)
-    open_ = checkpointed(lists.join(ends.select("h", "low"), "h"))
-    member = F.struct("doc", "n", "comp")
-    blocks = open_.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int")).groupBy("h", "bucket").agg(F.sort_array(F.collect_list(member)).alias("members"))
-    asks = open_.filter("comp > low").select("h", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), "times")
-    fetched = asks.join(blocks, "h").select("a", "bucket", "an", "ac", "times", "members").repartition("a", "bucket").sortWithinPartitions("a", "bucket")
-
-    def merged(rows: list[tuple]):
-        """Partners of one document in one bucket."""
-        an, ac = rows[0][2], rows[0][3]
-        docs, first, at = np.unique(np.concatenate([r[5] for r in rows]), return_index=True, return_inverse=True)
-        times = np.bincount(at, np.repeat([r[4] for r in rows], [len(r[5]) for r in rows]))
-        n, comp = np.concatenate([r[6] for r in rows])[first], np.concatenate([r[7] for r in rows])[first]
-        fits = (comp < ac) & (100 * np.minimum(n, an) >= PERCENT * np.maximum(n, an))
-        overlap, longer = -(-PERCENT * (n + an) // (100 + PERCENT)), -(-PERCENT * np.maximum(n, an) // 100)
-        return docs[fits & (times >= overlap - longer + 1)]
+    ends = lists.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).filter("low < high").select("h", "c")
+    own = checkpointed(lists.join(ends, "h"))
+    home = own.groupBy("doc", "n").agg(F.max(F.struct("c", "h")).alias("best")).select("doc", "n", F.col("best.h").alias("home"))
+    parts = home.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64(F.lit("part"), "doc"), F.col("parts")))
+    return checkpointed(own.drop("c").join(home.join(parts, "home").select("doc", block.alias("block")), "doc"))
 
-    def run(batches):
-        held: list[tuple] = []
-        for b in batches:
-            a, b_ = [], []
-            members = b.column("members")
-            bounds, inner = members.offsets.to_numpy(), members.values
-            parts = [inner.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            heads = zip(*(b.column(c).to_pylist() for c in ("a", "bucket", "an", "ac", "times")), strict=True)
-            for k, head in enumerate(heads):
-                if held and held[0][:2] != head[:2]:
-                    found = merged(held)
-                    a.append(np.full(len(found), held[0][0])), b_.append(found)
-                    held = []
-                held.append((*head, *(p[bounds[k] : bounds[k + 1]].copy() for p in parts)))
-            if a:
-                yield pair_batch(a, b_)
-        if held:
-            found = merged(held)
-            yield pair_batch([np.full(len(found), held[0][0])], [found])
-
-    def pair_batch(a, b):
-        a, b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    return fetched.mapInArrow(run, "a long, b long").distinct()
 
+def meetings(postings: DataFrame) -> DataFrame:
+    """Which documents (doc, comp, x: own block) are to be compared with which blocks (y).
 
-def probe(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose overlap reaches the similarity; pairs must be checkpointed."""
-    ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    A document meets a block if, for some class of sizes, its lists with members of that block, that class and other
+    components are as many as the texts of that class must share with it in their first lists.
+    """
+    step = float(np.log(CLASS_STEP))
+    wide = int(np.ceil(np.log(100 / PERCENT) / step)) + 1
+    own = postings.withColumn("k", F.floor(F.log("n") / step).cast("int"))
+    present = own.groupBy("h", F.col("block").alias("y"), F.col("k").alias("j")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    asks = own.withColumn("j", F.explode(F.sequence(F.col("k") - wide, F.col("k") + wide))).join(present, ["h", "j"]).filter("low != comp or high != comp")
+    n, share = F.col("n"), PERCENT / 100
+    small, large = F.greatest(F.exp(F.col("j") * step) - 1, n * share), F.least(F.exp((F.col("j") + 1) * step) + 1, n / share)
+    both = lambda m: share * (n + m) / (1 + share) - share * F.greatest(n, m)
+    met = asks.groupBy("doc", "n", "comp", "block", "y", "j").agg(F.sum("times").alias("c")).filter((small <= large) & (F.col("c") >= F.least(both(small), both(large)) - 1))
+    return met.select("doc", "comp", F.col("block").alias("x"), "y").distinct()
+
+
+class Lists:
+    """Inverted lists of a block's texts."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets], dtype=np.int64)
+        key, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.n)
+        order = np.argsort(key, kind="stable")
+        self.doc = doc[order]
+        self.key, self.start = np.unique(key[order], return_index=True)
+        self.length = np.diff(np.append(self.start, len(key)))
+
+    def partners(self, s: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Places of the wanted texts that reach the similarity with the set s.
+
+        The longest lists, fewer than T, are set aside. A partner occurs in so many of the short ones that the long ones can
+        make up for the rest; it is then looked up in those.
+        """
+        n, least = len(s), required(len(s))
+        at = np.minimum(np.searchsorted(self.key, s), len(self.key) - 1)
+        at = at[self.key[at] == s]
+        if len(at) < least or not wanted.any():
+            return np.zeros(0, dtype=np.int64)
+        at = at[np.argsort(self.length[at], kind="stable")]
+        long = min(least - 1, int(least / (PROBE_COST * np.log2(self.length[at[-1]] + 1) + 1)))
+        short, rest = at[: len(at) - long], at[len(at) - long :]
+        length = self.length[short]
+        ends = np.cumsum(length)
+        merged = self.doc[np.repeat(self.start[short] - (ends - length), length) + np.arange(ends[-1])]
+        times = np.bincount(merged, minlength=len(self.n))
+        overlap = -(-PERCENT * (self.n + n) // (100 + PERCENT))
+        found = np.flatnonzero(wanted & (times >= np.maximum(overlap - long, 1)) & (overlap <= np.minimum(self.n, n)))
+        times = times[found]
+        for k in rest if len(found) else ():
+            one = self.doc[self.start[k] : self.start[k] + self.length[k]]
+            times += one[np.minimum(np.searchsorted(one, found), len(one) - 1)] == found
+        return found[times >= overlap[found]]
+
+
+def links_of_blocks(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Links (a, b) that join the components of two blocks (sides 0 and 1), or of one with itself; a link for each joint."""
+    first = np.flatnonzero(side == 0)
+    second = first if same else np.flatnonzero(side == 1)
+    if not len(first) or not len(second):
+        return []
+    root = comp.copy()  # the component that each text belongs to by now
+    index, out = Lists([sets[i] for i in second]), []
+    for q in first.tolist():
+        for r in second[index.partners(sets[q], root[second] != root[q])].tolist():
+            if root[r] != root[q]:
+                out.append((int(ids[q]), int(ids[r])))
+                root[root == root[r]] = root[q]
+    return out
+
+
+def blockwise(docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Links (a > b) between texts of different components that share a list, enough of them to join their components."""
+    met = checkpointed(meetings(postings))
+    found = sets_of(docs, checkpointed(met.select(F.col("doc").alias("doc_id")).distinct()))
+    sides = met.select("doc", "comp", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("x") > F.col("y")).cast("int").alias("side"))
+    cells = sides.join(found, sides["doc"] == found["id"]).select("x", "y", "side", "doc", "comp", "s")
+
+    def run(cell: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in cell.column("s").to_pylist()]
+        same = cell.column("x")[0] == cell.column("y")[0]
+        links = links_of_blocks(cell.column("doc").to_numpy(), cell.column("comp").to_numpy(), sets, cell.column("side").to_numpy(), same)
+        return pa.table({"a": pa.array([max(x) for x in links], pa.int64()), "b": pa.array([min(x) for x in links], pa.int64())})
+
+    return checkpointed(cells.groupBy("x", "y").applyInArrow(run, "a long, b long"), 200)
+
+
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and s, the bytes of the set, for every row of docs whose doc_id is among ids (checkpointed)."""
 
     def sets(batches):
         for b in batches:
@@ -265,7 +315,12 @@ def probe(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     few = maybe_broadcast(ids, ids.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi")
-    found = checkpointed(texts.mapInArrow(sets, "id long, s binary"), 500)
+    return checkpointed(texts.mapInArrow(sets, "id long, s binary"), 500).filter("length(s) > 0")
+
+
+def probe(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose overlap reaches the similarity; pairs must be checkpointed."""
+    found = sets_of(docs, checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
 
     def count(batches):
         for b in batches:
@@ -319,11 +374,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     texts = own.filter("doc_id is not null and n_shingles > 0")
     least = texts.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_top")).filter("b < _top")
     copies = checkpointed(texts.join(least, "key").filter("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct())
-    posted = docs
-    if (number := copies.count()) and number <= BROADCAST_ROWS:  # copies of a set need not be posted again; more are told in each task
-        single = texts.groupBy("doc_id").count().filter("count = 1").select("doc_id")
-        again = copies.select(F.col("a").alias("doc_id")).join(single, "doc_id", "left_semi")
-        posted = docs.select("doc_id", "text").join(F.broadcast(again), "doc_id", "left_anti")
+    single = texts.groupBy("doc_id").count().filter("count = 1").select("doc_id")  # copies of a set need not be posted again
+    again = checkpointed(copies.select(F.col("a").alias("doc_id")).join(single, "doc_id", "left_semi"))
+    posted = docs.select("doc_id", "text").join(maybe_broadcast(again, again.count()), "doc_id", "left_anti")
     lists = shared_lists(short_lists(posted, levels(profiles)))
     stars = lists.filter("doc != lead").filter(close_sizes("n", "lead_n")).groupBy(F.col("doc").alias("a"), F.col("lead").alias("b"), "n", "lead_n").agg(F.sum("times").alias("c"))
     stars = stars.filter(often_enough("n", "lead_n", "c")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -331,26 +384,26 @@ def link_documents(docs: DataFrame) -> DataFrame:
     links = copies.union(probe(docs, stars))
     comp = checkpointed(components(links))
     marked = lists.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "n", "times", F.coalesce("comp", "doc").alias("comp"))
-    rest = checkpointed(occurrences(marked).join(stars, ["a", "b"], "left_anti"), 200)
-    comp = components(links.union(probe(docs, rest)))
+    comp = components(links.union(blockwise(docs, open_postings(marked))))
     return own.join(comp, own["doc_id"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without those whose component has a smaller doc_id: one document of each group stays.
 
-    Rows without words or id stay all; of rows that repeat an id one stays, that with the smallest text.
+    Rows without words or id stay all; of rows that repeat an id one stays, that with the smallest text. An empty table
+    gives none; other columns stay as they are, whatever their names.
     """
     linked = checkpointed(link_documents(docs))
     gone = checkpointed(linked.filter("component_id < doc_id").select("doc_id").distinct())
     kept = docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti")
     twice = checkpointed(linked.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if twice.isEmpty():
-        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        return kept.select(*columns)
     many = maybe_broadcast(twice, twice.count())
-    order = Window.partitionBy("doc_id").orderBy("text")
-    one = kept.join(many, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
-    return kept.join(many, "doc_id", "left_anti").unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(many, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("key")).agg(F.min_by(F.struct(*columns), F.struct(F.col("text").isNull(), "text")).alias("row")).select("row.*")
+    return kept.join(many, "doc_id", "left_anti").select(*columns).union(one)
 
 
 #: The same by brute force over pairs that share a shingle; closure by recursion.

@@ -79,8 +79,8 @@ def test_ids_with_several_texts_and_null_ids(documents):
 
 
 def test_large_group_of_edited_copies(documents, monkeypatch):
-    """Lists of one group, searched in small buckets."""
-    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 7)
+    """Lists of one group, searched in small blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 700)
     rnd = random.Random(3)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, edited(rnd, base, rnd.choice([0, 1, 2, 3]))) for i in range(150)]
@@ -104,8 +104,8 @@ def test_components(spark, pairs):
 def test_keep_one(documents):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(5, a), (3, a), (9, b), (9, b), (11, None), (11, None), (None, a)]
-    got = jaccard.keep_one(documents(rows).withColumn("_nth", F.lit(0)).drop("_nth"))
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = jaccard.keep_one(documents(rows).withColumn("_nth", F.lit(0)).withColumn("row", F.lit(1)).withColumn("key", F.lit("k")))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "_nth", "row", "key"]
     assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(["3", "9", "11", "11", "None"])
 
 
@@ -114,3 +114,33 @@ def test_shingle_hashes_tell_sets_apart(text):
     assert len(jaccard.shingles(text)) == len(sets(text))
     low = (text or "").replace("A", "a")
     assert np.array_equal(jaccard.shingles(text), jaccard.shingles(low))
+
+
+def thue_morse(letters, bits=11):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(1 << bits))
+
+
+def test_words_that_polynomial_hashes_confuse(documents):
+    rows = [(1, thue_morse("ab")), (2, thue_morse("ba")), (3, "x y z w " + thue_morse("ab")), (4, "x y z w " + thue_morse("ba"))]
+    got = {r.doc_id: r.component_id for r in jaccard.link_documents(documents(rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_divide_skip_against_all_pairs():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(60, rng.integers(1, 50))).astype(np.uint64) for _ in range(80)] + [np.arange(40, dtype=np.uint64)] * 3
+    index = jaccard.Lists(sets)
+    for q, s in enumerate(sets):
+        wanted = np.arange(len(sets)) != q
+        got = index.partners(s, wanted).tolist()
+        assert got == [i for i, t in enumerate(sets) if i != q and 100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t))]
+
+
+def test_group_whose_texts_hardly_link(documents, monkeypatch):
+    """A passage fills most of every text, so lists stay open after the leaders' round; result rows don't grow with its square."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 2000)
+    rnd = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*passage[: rnd.randint(40, 60)], *(f"u{rnd.randrange(300)}" for _ in range(rnd.randint(8, 20)))])) for i in range(160)]
+    got = {r.doc_id: r.component_id for r in jaccard.link_documents(documents(rows)).collect()}
+    assert got == brute(rows)
