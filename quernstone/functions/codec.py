@@ -33,3 +33,11 @@ def decode_string(data: Column) -> Column:
 def encode_ints(value: Column, kind: str = "bigint") -> Column:
     """The concatenated codes of an array of integers."""
     return F.aggregate(F.transform(value, lambda x: encode_int(x, kind)), F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
+
+
+def decode_ints(data: Column, kind: str = "bigint") -> Column:
+    """The integers of concatenated codes."""
+    width = WIDTHS[kind]
+    places = F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(data) / width).cast("int") - 1, F.lit(0)))
+    read = F.transform(places, lambda i: decode_int(F.substring(data, i * width + 1, F.lit(width)), kind))
+    return F.when(F.octet_length(data) > 0, read).otherwise(F.array().cast(f"array<{kind}>"))

@@ -22,14 +22,18 @@ def _parents(nodes: DataFrame) -> dict[int, int | None]:
 
 def chain(nodes: DataFrame, head: int) -> list[int] | None:
     """head and its ancestors, nearest first; None if they form a cycle or head is unknown."""
-    parents, out = _parents(nodes), []
+    return _line(_parents(nodes), head)
+
+
+def _line(parents: dict[int, int | None], head: int) -> list[int] | None:
+    out: dict[int, None] = {}
     node: int | None = head
     while node is not None and node in parents:
         if node in out:
             return None
-        out.append(node)
+        out[node] = None
         node = parents[node]
-    return out or None
+    return list(out) or None
 
 
 def dead_value(v: str = "v") -> Column:
@@ -44,7 +48,10 @@ def _depths(data: DataFrame, line: list[int]) -> DataFrame:
 
 def view(nodes: DataFrame, data: DataFrame, head: int) -> DataFrame:
     """k and v as head sees them: the nearest holder of a key wins, tombstones hide it. A cycle shows nothing."""
-    line = chain(nodes, head)
+    return _seen(data, chain(nodes, head))
+
+
+def _seen(data: DataFrame, line: list[int] | None) -> DataFrame:
     if line is None:
         return data.select("k", "v").limit(0)
     near = _depths(data, line).groupBy("k").agg(F.min_by(F.struct("v"), "depth").alias("_r"))
@@ -126,17 +133,15 @@ def prune(nodes: DataFrame, data: DataFrame, head: int) -> tuple[DataFrame, Data
     Side branches of the line die; head's children become the root's. A head without a parent is itself the root
     and nothing changes. A cycle is an error.
     """
-    line = chain(nodes, head)
+    parents = _parents(nodes)
+    line = _line(parents, head)
     if line is None:
         raise OtherError("the chain of parents is a cycle or the node is unknown")
-    root = line[-1]
+    root, on_line = line[-1], set(line)
     if len(line) == 1:
         return nodes, data, root
-    parents, on_line = _parents(nodes), set(line)
-    children = {n for n, p in parents.items() if p == head and n not in on_line}
     side = {n for n, p in parents.items() if p in on_line and p != head and n not in on_line}
-    folded = view(nodes, data, head).select(F.lit(root).cast("long").alias("node_id"), "k", "v").select(*data.columns)
-    nodes, data = _without(nodes, data, _below(parents, side))
-    kept_nodes, kept_data = _without(nodes, data, on_line - {root})
-    moved = F.when(F.col("node_id").isin(sorted(children)), F.lit(root)).otherwise(F.col("parent_id")) if children else F.col("parent_id")
+    folded = _seen(data, line).select(F.lit(root).cast("long").alias("node_id"), "k", "v").select(*data.columns)
+    kept_nodes, kept_data = _without(nodes, data, _below(parents, side) | on_line - {root})
+    moved = F.when(F.col("parent_id") == head, F.lit(root)).otherwise(F.col("parent_id"))
     return kept_nodes.withColumn("parent_id", moved.cast("long")), kept_data.filter(F.col("node_id") != root).unionByName(folded), root

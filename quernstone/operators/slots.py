@@ -72,13 +72,17 @@ def tiers(index: DataFrame, slot: str, capacity: int = 16, levels: int | None =
     return out.select("level", "slot_floor", "n")
 
 
-def page_by_tiers(index: DataFrame, rollup: DataFrame, slot: str, key: str, size: int, number: int, capacity: int, reverse: bool = False) -> DataFrame:
-    """page() over all slots, with the rollup of tiers(): only the stretches that hold the page are read and sorted.
+def page_by_tiers(index: DataFrame, rollup: DataFrame, slot: str, key: str, size: int, number: int, capacity: int, reverse: bool = False, left: Any = None, right: Any = None) -> DataFrame:
+    """page() with the rollup of tiers(): only the stretches that hold the page are read and sorted.
+
+    With bounds, the entries before the nearer bound are counted and skipped, and what lies beyond the other one is left out.
 
     Each level's stretches within the one chosen above (at most capacity of them) reach the driver.
     """
-    if size <= 0 or number < 0:
+    if size <= 0 or number < 0 or (left is not None and right is not None and left > right):
         return index.limit(0)
+    near, far = (right, left) if reverse else (left, right)
+    skip = size * number + (rank_of(index, slot, near, reverse) if near is not None else 0)
     top = rollup.agg(F.max("level")).first()[0]
     if top is None:
         return index.limit(0)
@@ -98,14 +102,15 @@ def page_by_tiers(index: DataFrame, rollup: DataFrame, slot: str, key: str, size
                 return None
         return low, before
 
-    start = locate(size * number)
+    start = locate(skip)
     if start is None:
         return index.limit(0)
     total = rollup.filter(F.col("level") == top).agg(F.sum("n")).first()[0]
-    end = locate(min(size * (number + 1), total) - 1)
+    end = locate(min(skip + size, total) - 1)
     a, b = (end[0], start[0]) if reverse else (start[0], end[0])
-    near = index.filter(F.col(slot).between(F.lit(a), F.lit(b + capacity - 1)))
-    return near.orderBy(F.desc(slot) if reverse else F.asc(slot), F.asc(key)).offset(size * number - start[1]).limit(size)
+    held = index.filter(F.col(slot).between(F.lit(a), F.lit(b + capacity - 1)))
+    out = held.orderBy(F.desc(slot) if reverse else F.asc(slot), F.asc(key)).offset(skip - start[1]).limit(size)
+    return out if far is None else out.filter(F.col(slot) >= F.lit(far) if reverse else F.col(slot) <= F.lit(far))
 
 
 def page_by_group(index: DataFrame, group: list[str], slot: str, key: str, size: int, number: int, reverse: bool = False, left: Any = None, right: Any = None) -> DataFrame:

@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from quernstone.errors import TrieError
 from quernstone.functions.keccak import keccak256, keccak256_column, keccak256_many
+from quernstone.sources.files import cut
 
 EMPTY = bytes(32)
+#: The one node of the proof in an empty Merkle Patricia trie.
+EMPTY_NODE = b"\x00"
 #: Entries that one part holds on average.
 PART_ROWS = 50_000
 MAX_KEY = 1024
@@ -187,10 +190,10 @@ def smt_prove(df: DataFrame, wanted: bytes, key: str = "k", value: str = "v", pa
 
 def smt_verify(root: bytes, key: bytes, proof: SmtProof) -> bool:
     """Whether the proof holds for a key under a root; too many siblings are an error."""
-    if len(proof.siblings) > 256:
-        raise TrieError("a proof has at most 256 siblings")
     if keccak256(key) != proof.key_hash:
         return False
+    if len(proof.siblings) > 256:
+        raise TrieError("a proof has at most 256 siblings")
     if proof.leaf is None:
         h = EMPTY
     else:
@@ -447,6 +450,8 @@ def mpt_prove(df: DataFrame, wanted: bytes, key: str = "k", value: str = "v", pa
     nodes: list[bytes] = []
     d = 0
     whole = mpt_join(*at(skip))
+    if whole is None:
+        return MptProof(wanted, None, (EMPTY_NODE,))
     if whole is not None:
         whole = (layout.common + whole[0], *whole[1:])
     while whole is not None:
@@ -514,6 +519,8 @@ def mpt_decode(node: bytes) -> tuple:
             if int.from_bytes(bits, "little") >> n & 1:
                 children[n], at = _take(node, at, 32)
         found = ("branch", children, value)
+    elif kind == EMPTY_NODE:
+        found, at = ("empty",), 1
     else:
         raise TrieError("a node is of no known kind")
     if at != len(node):
@@ -524,16 +531,20 @@ def mpt_decode(node: bytes) -> tuple:
 def mpt_verify(root: bytes, proof: MptProof) -> bool:
     """Whether the proof holds under a root, for a value or for its absence."""
     path, expect = nibbles(proof.key), root
-    if not proof.nodes:
+    if proof.nodes == (EMPTY_NODE,):
         return root == EMPTY and proof.value is None
+    if not proof.nodes:
+        return False
     for i, node in enumerate(proof.nodes):
         last = i == len(proof.nodes) - 1
         if keccak256(node) != expect:
             return False
         try:
-            kind, a, b = mpt_decode(node)
+            kind, a, b = (*mpt_decode(node), None, None)[:3]
         except TrieError:
             return False
+        if kind == "empty":
+            return False
         if kind == "leaf":
             return last and (b if a == path else None) == proof.value
         if kind == "extension":
@@ -559,7 +570,7 @@ class TrieCalculator:
             raise TrieError("a trie is smt or mpt")
         self.df, self.kind, self.part_rows = df.select("k", "v"), kind, part_rows
         self._parts: DataFrame | None = None
-        self._prefix = 0
+        self._prefix, self._root = 0, None
 
     def get(self, key: bytes) -> bytes | None:
         row = self.df.filter(F.col("k") == F.lit(key)).first()
@@ -569,12 +580,13 @@ class TrieCalculator:
         """Apply (k, v) in which a null v removes; keys are unique. Of an SMT only touched parts are hashed again."""
         if self.kind == "mpt":
             mpt_layout(ops)
-        self.df = self.df.join(ops.select("k"), "k", "left_anti").unionByName(ops.filter("v is not null").select("k", "v"))
+        self.df = cut(self.df.join(ops.select("k"), "k", "left_anti").unionByName(ops.filter("v is not null").select("k", "v")))
+        self._root = None
         if self._parts is not None:
             touched = ops.select(F.substring(keccak256_column("k"), 1, self._prefix).alias("prefix")).distinct()
             leaves = smt_leaves(self.df).withColumn("prefix", F.substring("path", 1, self._prefix))
             again = smt_parts(leaves.join(touched, "prefix", "left_semi").drop("prefix"), self._prefix)
-            self._parts = self._parts.join(touched, "prefix", "left_anti").unionByName(again)
+            self._parts = cut(self._parts.join(touched, "prefix", "left_anti").unionByName(again))
 
     def insert(self, key: bytes, value: bytes) -> None:
         self.batch_update(self.df.sparkSession.createDataFrame([(key, value)], "k binary, v binary"))
@@ -583,12 +595,19 @@ class TrieCalculator:
         self.batch_update(self.df.sparkSession.createDataFrame([(key, None)], "k binary, v binary"))
 
     def root_hash(self) -> bytes:
-        if self.kind == "mpt":
-            return mpt_root(self.df, part_rows=self.part_rows)
-        if self._parts is None:
-            self._prefix = part_bytes(self.df.count(), self.part_rows)
-            self._parts = smt_parts(smt_leaves(self.df), self._prefix)
-        return smt_root_of_parts(self._parts, self._prefix)
+        if self._root is None and self.kind == "mpt":
+            self._root = mpt_root(self.df, part_rows=self.part_rows)
+        elif self._root is None:
+            if self._parts is None:
+                self._prefix = part_bytes(self.df.count(), self.part_rows)
+                self._parts = cut(smt_parts(smt_leaves(self.df), self._prefix))
+            self._root = smt_root_of_parts(self._parts, self._prefix)
+        return self._root
+
+    def _mark(self) -> tuple[int, int, int]:
+        """Tells sets of entries apart: their number and two sums of hashes."""
+        one, two = F.xxhash64("k", "v"), F.xxhash64("v", "k")
+        return tuple(self.df.agg(F.count("*"), F.coalesce(F.bit_xor(one), F.lit(0)), F.coalesce(F.bit_xor(two), F.lit(0))).first())
 
     def prove(self, key: bytes):
         return (mpt_prove if self.kind == "mpt" else smt_prove)(self.df, key, part_rows=self.part_rows)
@@ -599,20 +618,30 @@ class TrieCalculator:
         return smt_verify(root, key, proof)
 
     def save_cache(self, path: str, sync_tag: int) -> None:
-        """Write the parts' hashes; a cache may be lost at any time."""
+        """Write the parts' hashes (of an MPT the root and a mark of the entries); a cache may be lost at any time."""
         root = self.root_hash()
-        if self.kind == "smt":
+        if self.kind == "mpt":
+            row = (sync_tag, bytearray(root), *self._mark())
+            self.df.sparkSession.createDataFrame([row], "tag long, root binary, n long, x long, y long").write.mode("overwrite").parquet(path)
+        else:
             self._parts.withColumns({"tag": F.lit(sync_tag), "root": F.lit(root), "width": F.lit(self._prefix)}).write.mode("overwrite").parquet(path)
 
     def load_cache(self, path: str) -> int | None:
-        """Take the parts of a cache whose hashes fold to its root; its tag, or None if it is of no use."""
+        """Take the parts of a cache whose hashes fold to its root (of an MPT: the root, if the entries are the same); its tag, or None."""
         try:
             saved = self.df.sparkSession.read.parquet(path)
             head = saved.first()
         except Exception:  # noqa: BLE001  a missing or broken cache only means that hashes are taken again
             return None
+        if self.kind == "mpt":
+            if head is None or "x" not in saved.columns or (head["n"], head["x"], head["y"]) != self._mark():
+                return None
+            self._root = bytes(head["root"])
+            return head["tag"]
+        if "prefix" not in saved.columns:
+            return None
         parts = saved.select("prefix", "n", "path", "hash")
-        if self.kind != "smt" or head is None or smt_root_of_parts(parts, head["width"]) != bytes(head["root"]):
+        if head is None or smt_root_of_parts(parts, head["width"]) != bytes(head["root"]):
             return None
         self._parts, self._prefix = parts, head["width"]
         return head["tag"]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quernstone.errors import OtherError
 from quernstone.functions.distance import METRICS, distance
 from quernstone.operators import kv
+from quernstone.sources.files import cut
 
 
 @dataclass(frozen=True)
@@ -214,9 +215,11 @@ class VectorIndex:
         return df
 
     def insert_batch(self, items: DataFrame, seq: str | None = None) -> None:
-        """Upsert; all dimensions are checked first, and of a repeated key the last by seq stays."""
+        """Upsert; all dimensions are checked first, and of a repeated key the last by seq (without it: by place) stays."""
         items = self._checked(items)
-        items = kv.last_per_key(items, self.key, seq).drop(seq) if seq else items
+        place = seq or "_place"
+        numbered = items if seq else items.withColumn(place, F.monotonically_increasing_id())
+        items = kv.last_per_key(numbered, self.key, place).drop(place)
         self.df = kv.upsert(self.df, items, self.key)
 
     def insert(self, key, vector: list[float]) -> None:
@@ -237,6 +240,14 @@ class VectorIndex:
     def keys(self) -> DataFrame:
         return self.df.select(self.key)
 
+    def iter(self) -> DataFrame:
+        """Keys and vectors in key order."""
+        return self.df.select(self.key, self.vec).orderBy(self.key)
+
+    def compact(self) -> None:
+        """Write the live vectors anew and cut the lineage of all former changes."""
+        self.df = cut(self.df)
+
     def __len__(self) -> int:
         return self.df.count()
 

@@ -323,9 +323,9 @@ class Repository:
 
     def merge(self, source: int, target: int) -> int:
         """Merge source into target, the source winning; the target's head afterwards."""
-        s, t = self._branch(source), self._branch(target)
         if source == target:
             raise OtherError("a branch is not merged with itself")
+        s, t = self._branch(source), self._branch(target)
         for b in (source, target):
             if self.has_uncommitted(b):
                 raise UncommittedChanges(self.branch_name(b))
@@ -352,7 +352,10 @@ class Repository:
             version = self._new_version()
             path = f"{self._dir}/delta-{version:08d}"
             change.select(self.key, *[F.col(f"new_value.{c}").alias(c) for c in rest], op).write.parquet(path)
-            n = self._add_commit(parents, [path], version, False)
+            if len(self._chain(t["head"])) + 1 > CHAIN:
+                n = self._add_commit(parents, self._full(merged), version, True)
+            else:
+                n = self._add_commit(parents, [path], version, False)
         t["head"], t["token"] = n, self._token(n)
         self.catalog.commit()
         return n

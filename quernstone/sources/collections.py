@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.errors import DecodeError, EncodingError
-from quernstone.operators import kv, slots
+from quernstone.errors import DecodeError, EncodingError, OtherError
+from quernstone.operators import kv, overlay, slots
 from quernstone.operators.vectors import VectorConfig, VectorIndex
 from quernstone.sources.catalog import Catalog, InstanceId, Namespace
 
@@ -283,11 +283,12 @@ class SlotIndex(Stored):
     kind = "slot_index"
 
     @classmethod
-    def new(cls, catalog: Catalog, slot: T.DataType, key: T.DataType, tier_capacity: int = 16, ns: Namespace | None = None) -> SlotIndex:
+    def new(cls, catalog: Catalog, slot: T.DataType, key: T.DataType, tier_capacity: int = 16, ns: Namespace | None = None, swap_order: bool = False) -> SlotIndex:
+        """swap_order keeps the entries in descending order of slots; pages and counts are the same."""
         if tier_capacity < 2:
             raise ValueError("a tier holds at least two stretches")
         schema = T.StructType([T.StructField("slot", slot), T.StructField("k", key)])
-        return cls(catalog, catalog.new_instance(cls.kind, schema, ns, {"capacity": tier_capacity}))
+        return cls(catalog, catalog.new_instance(cls.kind, schema, ns, {"capacity": tier_capacity, "swap_order": swap_order}))
 
     @classmethod
     def from_meta(cls, catalog: Catalog, iid: InstanceId, schema: T.StructType | None = None) -> SlotIndex:
@@ -299,13 +300,19 @@ class SlotIndex(Stored):
         return self.catalog.instance(self.iid)["extra"]["capacity"]
 
     def insert_batch(self, entries: DataFrame) -> None:
-        self.catalog.write(self.iid, slots.insert(self.df, entries), "slot")
+        self._write(slots.insert(self.df, entries))
+
+    def _write(self, df: DataFrame) -> None:
+        if self.catalog.instance(self.iid)["extra"].get("swap_order"):
+            self.catalog.write(self.iid, df.sortWithinPartitions(F.desc("slot")))
+        else:
+            self.catalog.write(self.iid, df, "slot")
 
     def insert(self, slot: Any, key: Any) -> None:
         self.insert_batch(self.catalog.spark.createDataFrame([(slot, key)], self.df.schema))
 
     def remove(self, slot: Any, key: Any) -> None:
-        self.catalog.write(self.iid, self.df.filter(~((F.col("slot") == F.lit(slot)) & (F.col("k") == F.lit(key)))), "slot")
+        self._write(self.df.filter(~((F.col("slot") == F.lit(slot)) & (F.col("k") == F.lit(key)))))
 
     def get_entries_by_page(self, size: int, number: int, reverse: bool = False) -> list:
         return self.get_entries_by_page_slot(None, None, size, number, reverse)
@@ -358,3 +365,86 @@ class StoredVectors(Stored):
         self.catalog.write(self.iid, index.df, "k")
         self.catalog.instance(self.iid)["extra"]["config"] = dict(index.config.__dict__)
         self.catalog.commit()
+
+
+class OverlayMap(Stored):
+    """Stored overlay nodes: their parents are metadata of the catalog, their entries one table (node_id, k, v)."""
+
+    kind = "overlay"
+
+    @classmethod
+    def new(cls, catalog: Catalog, key: T.DataType, value: T.DataType | None = None, ns: Namespace | None = None) -> OverlayMap:
+        schema = T.StructType([T.StructField("node_id", T.LongType()), T.StructField("k", key), T.StructField("v", value or T.StringType())])
+        return cls(catalog, catalog.new_instance(cls.kind, schema, ns, {"next_node": 1, "parents": {}}))
+
+    @classmethod
+    def from_meta(cls, catalog: Catalog, iid: InstanceId, schema: T.StructType | None = None) -> OverlayMap:
+        catalog.instance(iid, cls.kind, schema)
+        return cls(catalog, iid)
+
+    @property
+    def _meta(self) -> dict:
+        return self.catalog.instance(self.iid)["extra"]
+
+    @property
+    def nodes(self) -> DataFrame:
+        rows = [(int(n), p) for n, p in self._meta["parents"].items()]
+        return self.catalog.spark.createDataFrame(rows, "node_id long, parent_id long")
+
+    def _check(self, node: int) -> int:
+        if str(node) not in self._meta["parents"]:
+            raise OtherError(f"no node {node}")
+        return node
+
+    def new_node(self, parent: int | None = None) -> int:
+        """A node below a parent, or a root; numbers are never used again."""
+        n = self._meta["next_node"]
+        self._meta["parents"][str(n)] = None if parent is None else self._check(parent)
+        self._meta["next_node"] = n + 1
+        self.catalog.commit()
+        return n
+
+    def view(self, node: int) -> DataFrame:
+        return overlay.view(self.nodes, self.df, self._check(node))
+
+    def get(self, node: int, key: Any):
+        return overlay.get(self.nodes, self.df, self._check(node), key).first()
+
+    def insert_all(self, node: int, entries: DataFrame) -> None:
+        self.catalog.write(self.iid, overlay.put(self.df, self._check(node), entries), "k")
+
+    def insert(self, node: int, key: Any, value: Any) -> None:
+        self.insert_all(node, self.catalog.spark.createDataFrame([(key, value)], T.StructType(self.df.schema.fields[1:])))
+
+    def remove_all(self, node: int, keys: DataFrame) -> None:
+        self.catalog.write(self.iid, overlay.remove(self.df, self._check(node), keys), "k")
+
+    def remove(self, node: int, key: Any) -> None:
+        self.remove_all(node, self.catalog.spark.createDataFrame([(key,)], T.StructType([self.df.schema["k"]])))
+
+    def child_ids(self, node: int) -> list[int]:
+        return sorted(int(n) for n, p in self._meta["parents"].items() if p == node)
+
+    def no_children(self, node: int) -> bool:
+        return not self.child_ids(node)
+
+    def is_dead(self, node: int) -> bool:
+        return overlay.is_dead(self.nodes, self.df, self._check(node))
+
+    def _keep(self, nodes: DataFrame, data: DataFrame) -> None:
+        parents = {str(r["node_id"]): r["parent_id"] for r in nodes.collect()}
+        self.catalog.write(self.iid, data, "k")
+        self._meta["parents"] = parents
+        self.catalog.commit()
+
+    def destroy(self, node: int) -> None:
+        self._keep(*overlay.destroy(self.nodes, self.df, self._check(node)))
+
+    def prune(self, head: int) -> int:
+        """Fold the line down to head into its root; the root's number."""
+        nodes, data, root = overlay.prune(self.nodes, self.df, self._check(head))
+        self._keep(nodes, data)
+        return root
+
+    def prune_children(self, node: int, ids: list[int], exclude: bool = False) -> None:
+        self._keep(*overlay.prune_children(self.nodes, self.df, self._check(node), ids, exclude))

@@ -2,7 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path below spark.checkpoint.dir; a temporary folder only where a local session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return f"{(base or tempfile.mkdtemp(prefix='scratch')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the reliable checkpoint folder and cut its lineage."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(scratch(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def _fs(spark: SparkSession, path: str):

@@ -24,9 +24,16 @@ def into_slots(stream: DataFrame, index: SlotIndex, slot: str, key: str, checkpo
 
 
 def into_map(stream: DataFrame, target: OrderedMap, seq: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Upsert every row; of a key's rows in one batch the last by seq stays."""
+    """Upsert every row; of a key's rows the last by seq stays.
+
+    That holds within a batch, and from batch to batch too if the map has the column seq: then a late older row
+    changes nothing.
+    """
     def write(df: DataFrame, _: int) -> None:
-        target.insert_all(kv.last_per_key(df, target.key, seq).select(*target.df.columns))
+        new = kv.last_per_key(df, target.key, seq)
+        if seq in target.df.columns:
+            new = kv.last_per_key(new.select(*target.df.columns).unionByName(kv.contained(target.df, new, target.key)), target.key, seq)
+        target.insert_all(new.select(*target.df.columns))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -10,7 +10,7 @@ from quernstone.plans.repository import Repository
 from quernstone.sources.catalog import Catalog, InstanceId
 from quernstone.operators import kv
 from quernstone.operators.vectors import VectorConfig
-from quernstone.sources.collections import Map, OrderedMap, RawKeyMap, RawMap, Single, SlotIndex, StoredVectors
+from quernstone.sources.collections import Map, OrderedMap, OverlayMap, RawKeyMap, RawMap, Single, SlotIndex, StoredVectors
 from quernstone.sources.snapshots import EMPTY_ROOT, SnapshotTree
 from quernstone.streaming.ingest import into_map, into_slots, slot_counts
 
@@ -280,3 +280,61 @@ def test_prefix_scan(spark):
     df = spark.createDataFrame([(bytearray(x),) for x in (b"a", b"a\xff", b"ab", b"b", b"\xff\xff", b"")], "k binary")
     of = lambda p: sorted(bytes(r.k) for r in kv.prefix_scan(df, "k", p).collect())
     assert of(b"a") == [b"a", b"ab", b"a\xff"] and of(b"a\xff") == [b"a\xff"] and of(b"\xff") == [b"\xff\xff"] and len(of(b"")) == 6
+
+
+def test_merge_bases_of_a_criss_cross():
+    g = {1: [], 2: [1], 3: [1], 4: [2, 3], 5: [3, 2], 6: [4], 7: [5], 8: []}
+    assert history.merge_bases(g, 6, 7) == [3, 2] and history.merge_bases(g, 4, 2) == [2] and history.merge_bases(g, 6, 8) == [] and history.merge_bases(g, 1, 99) == []
+
+
+def test_merges_keep_the_chain_bounded(spark, catalog, monkeypatch):
+    from quernstone.plans import repository
+
+    monkeypatch.setattr(repository, "CHAIN", 3)
+    r = Repository.new(catalog, KV, "k")
+    r.insert(1, 0, "a")
+    r.commit(1)
+    dev = r.create_branch("dev", 1)
+    for i in range(1, 6):
+        r.insert(dev, i, "d")
+        r.commit(dev)
+        r.insert(1, 100 + i, "m")
+        r.commit(1)
+        head = r.merge(dev, 1)
+        assert len(r._chain(head)) <= 5
+    assert r.at(head).count() == 11
+    with pytest.raises(OtherError):
+        r.merge(77, 77)
+
+
+def test_overlay_nodes(spark, catalog):
+    o = OverlayMap.new(catalog, T.LongType())
+    root = o.new_node()
+    a, b = o.new_node(root), o.new_node(root)
+    o.insert(root, 1, "r")
+    o.insert(a, 2, "a")
+    o.remove(a, 1)
+    assert o.get(a, 1) is None and o.get(b, 1).v == "r" and o.child_ids(root) == [a, b] and not o.is_dead(root)
+    again = OverlayMap.from_meta(Catalog(spark, catalog.base_dir), o.save_meta())
+    assert again.prune(a) == root and again.no_children(root) and [tuple(r) for r in again.view(root).collect()] == [(2, "a")]
+    assert again.new_node(root) == b + 1
+    with pytest.raises(OtherError):
+        again.new_node(b)
+    again.destroy(root)
+    assert again.df.count() == 0 and again.nodes.count() == 0
+
+
+def test_late_rows_change_nothing_where_the_map_keeps_seq(spark, catalog, tmp_path):
+    schema = T.StructType([*KV.fields, T.StructField("seq", T.LongType())])
+    m = OrderedMap.new(catalog, schema, "k")
+    for n, rows in enumerate(([(1, "new", 5)], [(1, "old", 2), (2, "x", 1)])):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        into_map(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), m, "seq", str(tmp_path / "c"), once=True).awaitTermination()
+    assert sorted(tuple(r) for r in m.df.collect()) == [(1, "new", 5), (2, "x", 1)]
+
+
+def test_ints_round_trip(spark):
+    df = spark.createDataFrame([([3, -1, 7],), ([],)], "x array<int>")
+    from quernstone.functions import codec
+
+    assert [r[0] for r in df.select(codec.decode_ints(codec.encode_ints(F.col("x"), "int"), "int")).collect()] == [[3, -1, 7], []]

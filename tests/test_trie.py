@@ -132,3 +132,29 @@ def test_calculator_updates_touched_parts(spark, tmp_path):
     assert other.load_cache(str(tmp_path / "none")) is None
     with pytest.raises(TrieError):
         trie.TrieCalculator(frame(spark, {}), "mpt").insert(b"x" * 1025, b"")
+
+
+def test_mpt_cache_and_empty_proof(spark, tmp_path):
+    kv = some(40, 4)
+    calc = trie.TrieCalculator(frame(spark, kv), "mpt")
+    root = calc.root_hash()
+    calc.save_cache(str(tmp_path / "m"), 9)
+    other = trie.TrieCalculator(frame(spark, kv), "mpt")
+    assert other.load_cache(str(tmp_path / "m")) == 9 and other._root == root == plain_mpt(kv)
+    other.insert(b"one more", b"1")
+    assert other.root_hash() == plain_mpt({**kv, b"one more": b"1"})
+    assert other.load_cache(str(tmp_path / "m")) is None
+    none = trie.mpt_prove(frame(spark, {}), b"a")
+    assert none.nodes == (b"\x00",) and trie.mpt_verify(trie.EMPTY, none)
+    assert not trie.mpt_verify(trie.EMPTY, trie.MptProof(b"a", None, ())) and not trie.mpt_verify(plain_mpt(kv), none)
+
+
+def test_updates_do_not_pile_up_plans(spark):
+    calc = trie.TrieCalculator(frame(spark, some(30, 6)), part_rows=10)
+    calc.root_hash()
+    sizes = []
+    for i in range(3):
+        calc.insert(b"new%d" % i, b"x")
+        calc.root_hash()
+        sizes.append(len(calc._parts._jdf.queryExecution().optimizedPlan().toString()))
+    assert max(sizes) - min(sizes) < 50
