@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one window group of gapless_rank() holds on average.
 RANK_BUCKET_ROWS = 20_000
+#: Parts that ids are dealt into to choose samples: many, so that a small share of many rows is no share of 0.
+SAMPLE_PARTS = 1 << 50
 #: Most rows of narrow ids that are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -17,16 +19,23 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where a local session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return named or tempfile.mkdtemp(prefix="checkpoint")
+
+
 def checkpointed(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
     """Write df to the reliable folder of spark.checkpoint.dir and cut its lineage; executors may be lost afterwards.
 
-    The session names the folder. Only where it names none, as in tests, a temporary one is set. arrow_rows bounds
-    the rows that Python workers get at a time meanwhile, for rows that hold long texts or sets.
+    arrow_rows bounds the rows that Python workers get at a time meanwhile, for rows that hold long texts or sets.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        sc.setCheckpointDir(shared_folder(spark))
     before = spark.conf.get(key)
     if arrow_rows:
         spark.conf.set(key, str(arrow_rows))
@@ -81,7 +90,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, holdout: in
     """About `rows` documents (doc_id, text, label) for fitting: a bounded sample by a hash of the id.
 
     Only labels of ids whose crc32 is not divisible by `holdout` are looked at. Null ids and labels are left
-    out; of several labels of an id the largest counts.
+    out; of several labels of an id the largest counts, and of several texts the longest.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (id_crc() % holdout != 0))
@@ -89,5 +98,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, holdout: in
     )
     number = known.count()
     if number > rows:
-        known = known.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(1e6 * rows / number))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+        known = known.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(SAMPLE_PARTS)) < SAMPLE_PARTS * rows // number)
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    best = F.max(F.struct(F.length("text").alias("n"), "text")).alias("best")
+    return found.groupBy("doc_id").agg(best, F.max("label").alias("label")).select("doc_id", "best.text", "label")

@@ -7,14 +7,13 @@ than the language's own fit texts are, by a margin, is rejected.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import id_crc
+from quernstone.llm.common import SAMPLE_PARTS, id_crc
 
 DIM = 4096
 CENTROIDS = 4
@@ -23,7 +22,7 @@ FIT_PER_LANGUAGE = 300
 #: A text is rejected beyond so many times its centroid's radius.
 MARGIN = 1.25
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _ONLY_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -99,15 +98,17 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Model:
     """Fit on a bounded sample: about per_language rows of each value of lang, chosen by a hash of doc_id.
 
-    IDF is counted over all rows. Rows with a null lang or without a letter are not learned from.
+    IDF is counted over all rows. Rows with a null lang or without a letter are not learned from, and of rows that
+    repeat an id the sample takes one, that with the smallest lang and text.
     """
     rows = docs.filter(F.col("lang").isNotNull())
     numbers = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not numbers:
         return Model([], np.ones(DIM), np.zeros((0, DIM)), np.zeros(0))
     idf = inverse_frequencies(rows)
-    share = F.create_map(*[F.lit(x) for lang, n in numbers.items() for x in (lang, int(1e6 * per_language / n) + 1)])
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for lang, n in numbers.items() for x in (lang, SAMPLE_PARTS * per_language // n + 1)])
+    rows = rows.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_PARTS)) < share[F.col("lang")]))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.lang", "r.text")
 
     def run(batches):
         for b in batches:

@@ -1,9 +1,11 @@
 """Quality rules with adaptive thresholds (operator 4), in DataFrame functions only.
 
-Every text gets its measures. For each measure, mergeable quantile sketches (KLL) are built per language and
-source; merged, they also give the sketches per language and overall, which stand in where a source has few
-rows. A measure's upper fence is its third quartile, a multiple of the distance between first and third quartile, and
-a fixed slack; a text beyond a fence is rejected. Where both quartiles are 0, the fence is the slack alone: a fixed cutoff.
+Every text gets its measures. Mergeable quantile sketches (KLL) of each ratio and of the texts' lengths are built
+per language and source; merged, they give the sketches per language and overall. A ratio's fence is its median and
+a multiple of the distance from its first decile to the median; where clean texts hardly differ, that distance is at
+least what a few signs, lines or words make of a text of median length. All of these are taken from the lower half, so junk
+lifts a fence only where it is the larger part of a group. A group's fence is blended with its language's, and that with
+the overall one, by the number of rows behind each.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ SPACE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
 WINDOW = 5
 #: Size of the sketches: below so many rows they are exact.
 SKETCH_K = 4096
-#: A language's source needs so many rows for thresholds of its own, and so does a language.
-LEAST_ROWS = 50
-#: The fence of each ratio: third quartile + SPREAD * (third quartile - first quartile) + its slack.
-SPREAD = 6.0
-SLACK = {"symbol_ratio": 0.03, "upper_ratio": 0.25, "dup_line_ratio": 0.34, "repeat_ratio": 0.20}
+#: A group's own fence weighs as its rows do against so many rows of the group above it.
+BLEND_ROWS = 20
+#: The fence of a ratio: median + SPREAD * max(median - first decile, grain / median length).
+SPREAD = 12.0
+#: For each ratio its grain and what it is measured against.
+GRAINS = {"symbol_ratio": (3.0, "word_chars"), "upper_ratio": (3.0, "word_chars"), "dup_line_ratio": (0.2, "n_lines"), "repeat_ratio": (3.5, "n_words")}
+LENGTHS = ["word_chars", "n_lines", "n_words"]
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
 
@@ -100,42 +104,45 @@ def thresholds(measured: DataFrame) -> DataFrame:
 
     The sketches are updated before the shuffle and merged after it, so a source may hold any share of the rows.
     """
-    own = measured.select("lang", "source", *[v.alias(k) for k, v in ratios().items()])
-    sketches = checkpointed(own.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, SKETCH_K).alias(k) for k in SLACK]))
-    merged = [F.kll_merge_agg_double(k, SKETCH_K).alias(k) for k in SLACK]
+    names = [*GRAINS, *LENGTHS]
+    own = measured.select("lang", "source", *[v.alias(k) for k, v in ratios().items()], *[F.col(f"_m.{k}").cast("double").alias(k) for k in LENGTHS])
+    sketches = checkpointed(own.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, SKETCH_K).alias(k) for k in names]))
+    merged = [F.kll_merge_agg_double(k, SKETCH_K).alias(k) for k in names]
     by_lang = sketches.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
     overall = sketches.groupBy(F.lit("all").alias("_all")).agg(F.sum("n").alias("n"), *merged)
 
     def fences(df: DataFrame, prefix: str) -> DataFrame:
-        cut = {}
-        for k, slack in SLACK.items():
-            q1, q3 = (F.kll_sketch_get_quantile_double(k, F.lit(q)) for q in (0.25, 0.75))
-            cut[k] = q3 + SPREAD * (q3 - q1) + slack
+        at = lambda k, q: F.kll_sketch_get_quantile_double(k, F.lit(q))
+        cut = {k: at(k, 0.5) + SPREAD * F.greatest(at(k, 0.5) - at(k, 0.1), grain / F.greatest(at(of, 0.5), F.lit(1.0))) for k, (grain, of) in GRAINS.items()}
         keys = [c for c in ("lang", "source") if c in df.columns]
         return df.select(*keys, F.col("n").alias(f"{prefix}n"), *[v.alias(f"{prefix}{k}") for k, v in cut.items()])
 
     a, b, every = fences(sketches, "s_"), fences(by_lang, "l_").withColumnRenamed("lang", "_lang"), fences(overall, "a_").first()
     joined = a.join(b, F.col("lang").eqNullSafe(F.col("_lang")))
-    pick = lambda k: F.when(F.col("s_n") >= LEAST_ROWS, F.col(f"s_{k}")).when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{k}")).otherwise(F.lit(every[f"a_{k}"] if every else 0.0))
-    return checkpointed(joined.select("lang", "source", *[pick(k).alias(f"max_{k}") for k in SLACK]))
+
+    def blend(k: str) -> Column:
+        above = (F.col("l_n") * F.col(f"l_{k}") + BLEND_ROWS * F.lit(every[f"a_{k}"] if every else 0.0)) / (F.col("l_n") + BLEND_ROWS)
+        return (F.col("s_n") * F.col(f"s_{k}") + BLEND_ROWS * above) / (F.col("s_n") + BLEND_ROWS)
+
+    return checkpointed(joined.select("lang", "source", *[blend(k).alias(f"max_{k}") for k in GRAINS]))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """Join the fences to measured rows and add base_failed and kept."""
-    t = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"max_{k}" for k in SLACK])
+    t = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"max_{k}" for k in GRAINS])
     t = maybe_broadcast(t, t.count(), 100_000)
     joined = measured.join(t, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
     for k, v in ratios().items():
         inside = inside & (v <= F.col(f"max_{k}"))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & F.coalesce(inside, F.lit(True))).drop("_lang", "_source", *[f"max_{k}" for k in SLACK])
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & F.coalesce(inside, F.lit(True))).drop("_lang", "_source", *[f"max_{k}" for k in GRAINS])
 
 
 def rate_documents(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed and kept for every whole text.
 
     A null or empty text has no words and fails. Null languages and sources are groups of their own. Repeated rows
-    each count and each give a row; an empty table gives none; other columns are ignored.
+    each count and each give a row; an empty table gives none; other columns are ignored. A ratio equal to its fence is kept.
     """
     slim = docs.select("doc_id", "text", "lang", "source")
     measured = checkpointed(measure(slim).select("doc_id", "lang", "source", "_m"))
@@ -143,10 +150,13 @@ def rate_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that rate_documents() keeps, with their columns."""
-    names = docs.columns
-    measured = measure(docs)
-    return judge(measured, thresholds(measured)).filter("kept").select(*[F.col(f"`{c}`") for c in names])
+    """The rows of docs that rate_documents() keeps, with all their columns, whatever their names.
+
+    Nulls, empty texts and repeated rows are treated as there; an empty table gives none.
+    """
+    whole = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    measured = measure(whole)
+    return judge(measured, thresholds(measured)).filter("kept").select("row.*")
 
 
 _T = ["symbol_ratio", "upper_ratio", "dup_line_ratio", "repeat_ratio"]
@@ -155,12 +165,15 @@ _Q = lambda k, q: f"coalesce(max({k}) FILTER (WHERE r_{k} = greatest(1, ceil({q}
 
 def _fences(keys: str) -> str:
     by = f"PARTITION BY {keys}" if keys else ""
-    ranked = ", ".join(f"row_number() OVER ({by} {'' if by else ''} ORDER BY {k}) AS r_{k}" for k in _T)
-    cuts = ", ".join(f"{_Q(k, 0.75)} + {SPREAD} * ({_Q(k, 0.75)} - {_Q(k, 0.25)}) + {SLACK[k]} AS {k}" for k in _T)
+    ranked = ", ".join(f"row_number() OVER ({by} ORDER BY {k}) AS r_{k}" for k in [*_T, *LENGTHS])
+    cuts = ", ".join(f"{_Q(k, 0.5)} + {SPREAD} * greatest({_Q(k, 0.5)} - {_Q(k, 0.1)}, {grain} / greatest({_Q(of, 0.5)}, 1.0)) AS {k}" for k, (grain, of) in GRAINS.items())
     group = f"GROUP BY {keys}" if keys else ""
     return f"SELECT {keys + ',' if keys else ''} count(*) AS n, {cuts} FROM (SELECT *, count(*) OVER ({by}) AS c, {ranked} FROM r) {group}"
 
 
+_BLENDED = lambda k: f"(s.n * s.{k} + {BLEND_ROWS} * ((l.n * l.{k} + {BLEND_ROWS} * a.{k}) / (l.n + {BLEND_ROWS}))) / (s.n + {BLEND_ROWS})"
+
+
 #: Sketches are exact for as few rows as the check at sf0.01 has; then the fences are plain order statistics.
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -178,6 +191,6 @@ r AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_ratio, n_upper / g
     n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_repeat_words / greatest(n_words, 1) AS repeat_ratio FROM m),
 s AS ({_fences('lang, source')}), l AS ({_fences('lang')}), a AS ({_fences('')})
 SELECT r.doc_id, {', '.join('r.' + k for k in MEASURES)}, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {' AND '.join(f'r.{k} <= CASE WHEN s.n >= {LEAST_ROWS} THEN s.{k} WHEN l.n >= {LEAST_ROWS} THEN l.{k} ELSE a.{k} END' for k in _T)} AS kept
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {' AND '.join(f'r.{k} <= {_BLENDED(k)}' for k in _T)} AS kept
 FROM r JOIN s ON r.lang IS NOT DISTINCT FROM s.lang AND r.source IS NOT DISTINCT FROM s.source JOIN l ON r.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a
 """

@@ -37,6 +37,11 @@ def topology(shards: int, racks_per_region: int = 2, shards_per_rack: int = 4, w
     return [Leaf(s // (racks_per_region * shards_per_rack), s // shards_per_rack, s, (weights or {}).get(s, 1.0)) for s in range(shards)]
 
 
+def grown(leaves: list[Leaf]) -> list[Leaf]:
+    """One shard more, in a region of its own, so that it takes rows only into itself."""
+    return [*leaves, Leaf(max(x.region for x in leaves) + 1, max(x.rack for x in leaves) + 1, max(x.shard for x in leaves) + 1)]
+
+
 def _draw(key: Column, level: str, node: int, weight: float) -> Column:
     u = (md5_int(F.concat(F.lit(f"{level}{node}/"), key), DIGITS).cast("double") + 0.5) / float(16**DIGITS)
     return F.struct((-F.log(u) / F.lit(float(weight))).alias("draw"), F.lit(node).alias("node"))
@@ -94,7 +99,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, rows: int | None = None)
     rows = docs.count() if rows is None else rows
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = assign(assign(slim, F.col("doc_id"), topology(shards)), F.col("doc_id"), topology(shards + 1), "grown_")
+    placed = assign(assign(slim, F.col("doc_id"), topology(shards)), F.col("doc_id"), grown(topology(shards)), "grown_")
     placed = placed.withColumn("law", F.lit("key")).drop("grown_region", "grown_rack")
     bucket = md5_int(F.concat(F.lit("slot/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 10)
     buckets = max(1, ceil(rows / shards / RANK_BUCKET_ROWS) * 4)
@@ -124,7 +129,7 @@ t AS MATERIALIZED (SELECT list(c ORDER BY n) AS tab FROM g WHERE k = 8),
 x AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda v: CAST('0x' || v AS BIGINT)) AS bytes FROM documents),
 d AS MATERIALIZED (SELECT doc_id, k, CAST(len(bytes) + 1 AS BIGINT) AS size,
     xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, v: xor(a >> 8, tab[(xor(a, v) & 255) + 1])), 4294967295) AS text_crc32 FROM x, t),
-a AS ({_sql(topology(16))}), b AS (SELECT DISTINCT k, shard AS grown_shard FROM ({_sql(topology(17))})),
+a AS ({_sql(topology(16))}), b AS (SELECT DISTINCT k, shard AS grown_shard FROM ({_sql(grown(topology(16)))})),
 n AS (SELECT greatest(1, CAST(ceil(count(*) / 16 / {RANK_BUCKET_ROWS}) * 4 AS BIGINT)) AS buckets FROM documents)
 SELECT doc_id, size, text_crc32, 'key' AS law, region, rack, shard,
     row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5('slot/' || k), 1, 10) AS BIGINT) % buckets, doc_id, text_crc32, size) - 1 AS slot, grown_shard

@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -40,7 +42,7 @@ LOOKALIKES = {
 #: Bound on the sample of labelled texts that weights and calibration are fitted on.
 FIT_ROWS = 12_000
 #: A word or stem of the sample joins the lexicon with so large a part of the toxic texts and so large log odds.
-MIN_SHARE, MIN_ODDS, MOST_WORDS = 0.02, 3.0, 2000
+MIN_SHARE, MIN_ODDS = 0.02, 3.0
 #: Letters of the stems looked at. A stem is written with a star and matches words that begin with it.
 STEMS = (4, 5, 6)
 
@@ -127,7 +129,10 @@ class Matcher:
             if (start and text[start - 1].isalnum()) or (kind != "stem" and end + 1 < len(text) and text[end + 1].isalnum()):
                 continue
             (spared if kind == "spare" else found).append((start, end, entry))
-        return [w for s, e, w in found if not any(a <= s and e <= b for a, b, _ in spared)]
+        spared.sort()
+        starts, reach = [a for a, _, _ in spared], list(accumulate((b for _, b, _ in spared), max))
+        inside = lambda s, e: (k := bisect_right(starts, s)) and reach[k - 1] >= e
+        return [w for s, e, w in found if not inside(s, e)]
 
 
 def patterns(text: str) -> set[str]:
@@ -193,6 +198,7 @@ def calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learn weights and calibration from about `rows` labelled texts (crc32 of the id mod 5 not 0).
 
+    A word joins the lexicon only with a fixed share of the sample's toxic texts, so its size is bounded by the sample.
     A new word needs support from texts of different sketches, so that copies of one text don't add words.
     Without labels all words weigh the same and the score stays below 0.5 without hits.
     """
@@ -224,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             .groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("key") >= 0).cast("long")).alias("d"))
             .withColumn("odds", odds)
             .filter((F.col("entry").isin(sorted(base)) & (F.col("t") + F.col("c") >= 3)) | ((F.col("d") >= max(5, MIN_SHARE * toxic)) & (F.col("odds") >= MIN_ODDS)))
-            .orderBy(F.desc("odds"), "entry").limit(MOST_WORDS).collect()
+            .orderBy(F.desc("odds"), "entry").collect()
         )
         weights |= choose([(r["entry"], r["odds"]) for r in seen], base)
     model = Model({w: x for w, x in weights.items() if x > 0}, 1.0, -1.0)
@@ -243,7 +249,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, raw, score (0 to 1) and predicted (score >= 0.5) for every whole text.
 
     Null and empty texts have raw 0 and the score of a text without hits. Repeated rows each give a row, an empty
-    table none; other columns are ignored.
+    table none; other columns are ignored. Equal texts have equal scores, and a score of 0.5 itself counts as toxic.
     """
 
     def run(batches):

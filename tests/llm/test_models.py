@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import ann, langid, quality, toxicity
+from quernstone.llm import ann, common, langid, quality, toxicity
 
 SYLLABLES = {"aa": ["tha", "ing", "ent", "er"], "bb": ["sch", "ung", "ich", "ver"], "cc": ["éau", "que", "oir", "ment"]}
 
@@ -182,3 +182,56 @@ def test_forest_ascends_to_all():
     f = ann.Forest(x, trees=3, bits=8)
     assert all(len(c) == 50 for c in f.candidates(x, reach=3.0, least=1))
     assert all(q in c for q, c in enumerate(f.candidates(x, reach=0.0, least=1)))
+
+
+def test_numerals_are_no_letters(documents):
+    rnd = random.Random(3)
+    rows = [(i, prose(rnd, "aa"), "aa") for i in range(40)] + [(100, "\u00bd \u00b2 \u2168", "aa"), (101, "\u01c5", None)]
+    by = {r.doc_id: r.lang_pred for r in langid.predict_documents(documents(rows)).collect()}
+    assert by[100] == "und" and by[101] == "aa"
+
+
+def test_language_score_by_plain_loops(documents):
+    """Cosine of TF-IDF vectors to every centroid, n-gram by n-gram."""
+    rnd = random.Random(6)
+    rows = [(i, prose(rnd, lang := list(SYLLABLES)[i % 3]), lang) for i in range(90)]
+    model = langid.fit(documents(rows))
+    for _, t, _ in rows[:20]:
+        data = b" " + b" ".join(bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in t.lower().encode()).split()) + b" "
+        tf = {}
+        for n in (2, 3):
+            for k in range(len(data) - n + 1):
+                x = int.from_bytes(data[k : k + n], "big")
+                h = (x * 2654435761 if n == 2 else (x + 1) * 2246822519) % 2**32 >> 20
+                tf[h] = tf.get(h, 0) + 1
+        v = {h: c**0.5 * model.idf[h] for h, c in tf.items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        cosines = [sum(x * float(c[h]) for h, x in v.items()) / size for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda j: cosines[j])
+        lang, score, _ = model.predict(t)
+        assert lang == model.languages[best] and score == pytest.approx(cosines[best], abs=1e-5)
+
+
+def test_hits_by_plain_search():
+    """Every place of every entry, with the exceptions looked at one by one."""
+    rnd = random.Random(4)
+    entries, pieces = ["trash", "clown", "idiot*"], ["trash", "can", "trash can", "class clown", "clown", "idiots", "tr4sh", " ", ",", "x"]
+    m = toxicity.Matcher(entries)
+    for _ in range(200):
+        text = " ".join(rnd.choices(pieces, k=12))
+        low = toxicity.fold(text)
+        spots = lambda e, stem: [(k, k + len(e)) for k in range(len(low)) if low.startswith(e, k) and not (k and text[k - 1].isalnum()) and (stem or not text[k + len(e) : k + len(e) + 1].isalnum())]
+        spared = [s for e in toxicity.EXCEPTIONS for s in spots(toxicity.fold(e), False)]
+        want = [e for e in entries for a, b in spots(toxicity.fold(e.rstrip("*")), e.endswith("*")) if not any(x <= a and b <= y for x, y in spared)]
+        assert sorted(m.hits(text)) == sorted(want)
+
+
+def test_samples_are_bounded_for_any_number_of_rows(spark, documents):
+    """Repeated ids are one row of the sample, and clashing columns are left alone."""
+    rnd = random.Random(9)
+    rows = [(1, prose(rnd, "aa"))] * 500 + [(i, prose(rnd, "aa")) for i in range(2, 40)]
+    marks = labels(spark, [(i, i % 2, 0) for i in range(1, 40)])
+    sample = common.labelled_sample(documents(rows), marks, "quality", 5, 1000).collect()
+    assert len(sample) == len({r.doc_id for r in sample}) == sum(mod(i, 5) != 0 for i in range(1, 40))
+    clash = documents(rows[499:]).withColumn("score", F.lit("x")).withColumn("gam_score", F.lit("y")).withColumn("label", F.lit("z")).withColumn("raw", F.lit("w"))
+    assert quality.rate_documents(clash, marks).count() == toxicity.rate_documents(clash, marks).count() == 39
