@@ -170,13 +170,13 @@ class Model:
         return {**self.__dict__, "_matcher": None}
 
     def raw(self, text: str | None) -> float:
-        """The hits' weights, divided by a dampened length."""
+        """The hits' weights, divided by a dampened length; of more and more hits each adds less."""
         if not text:
             return 0.0
         if self._matcher is None:
             self._matcher = Matcher(self.weights)
         total = sum(self.weights[w] for w in self._matcher.hits(text))
-        return total / (1 + np.log1p((text.count(" ") + text.count("\n") + 1) / 1000)) if total else 0.0
+        return float(np.log1p(total / (1 + np.log1p((text.count(" ") + text.count("\n") + 1) / 1000)))) if total else 0.0
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-(self.slope * self.raw(text) + self.intercept))))
