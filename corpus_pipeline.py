@@ -6,11 +6,11 @@ one returns the packed pieces. Stages are written as Parquet in between.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernstone.llm.common import shared_folder
 from quernstone.llm.jaccard import keep_one
 from quernstone.llm.line_dedup import dedup_documents
 from quernstone.llm.packing import pack_documents
@@ -20,23 +20,32 @@ from quernstone.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that operator 4 keeps. Null and empty texts fail; repeated rows are each judged; no rows give none."""
     return keep_documents(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that operator 5 predicts to be good. Null and empty texts are scored as texts without words; without
+    labels all stay; repeated rows each keep their row; no rows give none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_documents(docs, fit(docs, labels)).filter("gam_predicted = 1").select(*docs.columns)
+    return score_documents(docs, fit(docs, labels)).filter("gam_predicted = 1").select(*[f"`{c}`" for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of chunks that came before. A null text stays null, a text that loses all its
+    lines becomes empty; rows with the same id and text are one document; no rows give none."""
     return dedup_documents(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id. Texts without words all stay; of rows that
+    repeat an id one stays; no rows give none."""
     return keep_one(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents. A null or empty text is one token; repeated rows are each packed; no rows
+    give none."""
     return pack_documents(docs, vocabulary())
 
 
@@ -54,7 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; in between they are Parquet in the folder of spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
+    base = shared_folder(spark).rstrip("/")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
