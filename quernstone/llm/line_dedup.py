@@ -89,8 +89,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     affected = checkpointed(places.join(again, "h", "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
     few = maybe_broadcast(affected, affected.count())
     found = base.withColumn("th", F.xxhash64("text")).join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
-    found = chunked(found).select("doc_id", "th", F.explode("_chunks").alias("c")).select("doc_id", "th", "c.start", "c.stop", F.col("c.text").alias("chunk"))
-    found = found.withColumn("h", F.xxhash64("chunk"))
+    # a plain explode would have the optimizer test the chunks' number below the projection, which cuts each text again
+    found = chunked(found).select("doc_id", "th", F.explode_outer("_chunks").alias("c")).select("doc_id", "th", "c.start", "c.stop", F.col("c.text").alias("chunk"))
+    found = found.filter("chunk IS NOT NULL").withColumn("h", F.xxhash64("chunk"))
     found = checkpointed(found.join(again, "h", "left_semi"))
     first = found.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "start", "th")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     marks = (
