@@ -2,7 +2,8 @@
 
 Each tree hashes vectors to long bit strings by the signs of random projections and keeps them in a sorted
 array. A query descends to its longest matching prefix in every tree; then all trees ascend together, one
-bit at a time, until the prefix ranges hold enough candidates. Candidates are scored by their exact cosine.
+bit at a time, until the prefix ranges hold enough candidates. Ranges only grow on the way up, so the depth
+at which the ascent ends is found by bisection. Candidates are scored by their exact cosine.
 
 Rows are dealt into blocks by a hash of their id, each with a forest of its own; a block of queries visits all
 of them. No range is cut off: a range that holds many copies is scored whole, and bounded by its block.
@@ -10,6 +11,7 @@ of them. No range is cut off: a range that holds many copies is scored whole, an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -17,50 +19,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS = 20, 32
+#: Trees, and bits of their strings (at most 32). More trees let the ascent end at longer prefixes.
+TREES, BITS = 192, 24
 #: The trees ascend until their ranges hold so many times the block's rows (a row counts once for each tree).
-REACH = 1.0
+REACH = 0.4
 #: Rows of a block, and queries of a block of queries.
-BLOCK_ROWS, QUERY_ROWS = 2048, 4096
+BLOCK_ROWS, QUERY_ROWS = 8192, 4096
 SEED = 20240607
 
 
 class Forest:
     def __init__(self, x: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = SEED):
-        self.trees, self.bits = trees, bits
-        self.planes = np.random.default_rng(seed).standard_normal((x.shape[1], trees * bits))
+        self.trees, self.bits, self.n = trees, bits, len(x)
+        self.planes = np.random.default_rng(seed).standard_normal((trees, x.shape[1], bits))
         codes = self.codes(x)
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(codes, self.order, axis=0)
-        self.n = len(x)
+        self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(codes, self.order, axis=1)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """One bit string for each row and tree, the first projection being the highest bit."""
-        sign = (x @ self.planes > 0).reshape(len(x), self.trees, self.bits)
-        return sign @ (np.uint64(1) << np.arange(self.bits - 1, -1, -1, dtype=np.uint64))
-
-    def ranges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last places of every prefix: [query, depth, tree]."""
-        low = np.empty((len(codes), self.bits + 1, self.trees), dtype=np.int32)
-        high = np.empty_like(low)
-        for depth in range(self.bits + 1):
-            rest = np.uint64((1 << (self.bits - depth)) - 1)
-            for t in range(self.trees):
-                low[:, depth, t] = np.searchsorted(self.sorted[:, t], codes[:, t] & ~rest, side="left")
-                high[:, depth, t] = np.searchsorted(self.sorted[:, t], codes[:, t] | rest, side="right")
-        return low, high
-
-    def candidates(self, x: np.ndarray, reach: float, least: int):
+        """One bit string for each tree and row, the first projection being the highest bit."""
+        weight = 2.0 ** np.arange(self.bits - 1, -1, -1)
+        return np.stack([((x @ p > 0) @ weight).astype(np.uint32) for p in self.planes])
+
+    def ranges(self, codes: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last places, [tree, query], of the rows that share a prefix of each query's depth."""
+        rest = ((np.uint64(1) << (self.bits - depth).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+        low = [np.searchsorted(s, c & ~rest, side="left") for s, c in zip(self.sorted, codes, strict=True)]
+        high = [np.searchsorted(s, c | rest, side="right") for s, c in zip(self.sorted, codes, strict=True)]
+        return np.stack(low), np.stack(high)
+
+    def ascend(self, codes: np.ndarray, want: float) -> np.ndarray:
+        """Each query's deepest common depth at which the trees' ranges together hold what is wanted, else 0."""
+        least, most = np.zeros(codes.shape[1], dtype=np.int64), np.full(codes.shape[1], self.bits)
+        while (least < most).any():
+            middle = (least + most + 1) // 2
+            low, high = self.ranges(codes, middle)
+            enough = (high - low).sum(axis=0) >= want
+            least, most = np.where(enough, middle, least), np.where(enough, most, middle - 1)
+        return least
+
+    def candidates(self, x: np.ndarray, reach: float, least: int) -> Iterator[np.ndarray]:
         """For each query row the rows that share a prefix of the common depth with it in some tree."""
-        low, high = self.ranges(self.codes(x))
-        held = (high - low).sum(axis=2)
-        want = max(reach * self.n, self.trees * least)
-        depth = self.bits - np.argmax((held >= want)[:, ::-1], axis=1)  # the deepest that holds enough
-        depth[held[:, 0] < want] = 0
-        for q, d in enumerate(depth):
+        codes = self.codes(x)
+        low, high = self.ranges(codes, self.ascend(codes, max(reach * self.n, self.trees * least)))
+        rows, first = self.order.ravel(), np.arange(self.trees) * self.n
+        for q in range(len(x)):
+            held = high[:, q] - low[:, q]
+            places = np.repeat(low[:, q] + first - (np.cumsum(held) - held), held) + np.arange(held.sum())
             mine = np.zeros(self.n, dtype=bool)
-            for t in range(self.trees):
-                mine[self.order[low[q, d, t] : high[q, d, t], t]] = True
+            mine[rows[places]] = True
             yield np.flatnonzero(mine)
 
 

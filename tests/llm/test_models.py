@@ -184,6 +184,31 @@ def test_forest_ascends_to_all():
     assert all(q in c for q, c in enumerate(f.candidates(x, reach=0.0, least=1)))
 
 
+def test_forest_ascends_bit_by_bit():
+    """The ascent ends where a walk up one bit at a time ends, and its candidates are those that share that prefix."""
+    x = np.random.default_rng(3).standard_normal((400, 6))
+    x[50:90] = x[7]
+    f = ann.Forest(x, trees=7, bits=12)
+    codes = f.codes(x)
+    for reach in (0.05, 0.5, 2.0):
+        for q, got in enumerate(f.candidates(x[:40], reach, 2)):
+            depth = f.bits
+            alike = lambda d: codes >> (f.bits - d) == (codes[:, q] >> (f.bits - d))[:, None]
+            while depth and alike(depth).sum() < max(reach * 400, 14):
+                depth -= 1
+            assert got.tolist() == np.flatnonzero(alike(depth).any(axis=0)).tolist()
+
+
+def test_forest_is_selective_where_vectors_have_no_structure():
+    x = np.random.default_rng(4).standard_normal((6000, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    shares, found = [], []
+    for q, rows in enumerate(ann.Forest(x).candidates(x[:30], ann.REACH, 6)):
+        near = np.argsort(-(x @ x[q]))[1:6]
+        shares.append(len(rows) / len(x)), found.append(np.isin(near, rows).mean())
+    assert np.mean(shares) < 0.4 and np.mean(found) >= 0.9
+
+
 def test_numerals_are_no_letters(documents):
     rnd = random.Random(3)
     rows = [(i, prose(rnd, "aa"), "aa") for i in range(40)] + [(100, "\u00bd \u00b2 \u2168", "aa"), (101, "\u01c5", None)]
