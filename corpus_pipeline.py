@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm.common import shared_folder
+from quernstone.llm.common import checkpointed, shared_folder
 from quernstone.llm.jaccard import keep_one
 from quernstone.llm.line_dedup import dedup_documents
 from quernstone.llm.packing import pack_documents
@@ -18,6 +18,9 @@ from quernstone.llm.quality import fit, score_documents
 from quernstone.llm.quality_rules import keep_documents
 from quernstone.llm.queries import vocabulary
 
+#: Rows of whole texts that a Python worker gets at a time.
+BATCH_ROWS = 500
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that operator 4 keeps. Null and empty texts fail; repeated rows are each judged; no rows give none."""
@@ -28,7 +31,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The documents that operator 5 predicts to be good. Null and empty texts are scored as texts without words; without
     labels all stay; repeated rows each keep their row; no rows give none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_documents(docs, fit(docs, labels)).filter("gam_predicted = 1").select(*[f"`{c}`" for c in docs.columns])
+    scored = score_documents(docs, fit(docs, labels))
+    return checkpointed(scored.filter("gam_predicted = 1").select(*[f"`{c}`" for c in docs.columns]), BATCH_ROWS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
