@@ -6,7 +6,8 @@ lists set aside, a text's partners have to occur in the rest. Only those lists a
 
 A first round asks for one partner only, each list's leader. Only components are wanted, so lists whose members are
 then in one component are done. The members of the others are dealt into blocks of bounded size, those of one list
-side by side, and DivideSkip runs for every two blocks that share a list: it keeps one block's inverted lists of
+side by side, and DivideSkip runs for every two blocks where two texts may be partners: they share short lists often
+enough, and parities of their sets, which bound the overlap from above, allow it. It keeps one block's inverted lists of
 all its shingles, merges each query's short lists, probes the long ones by binary search for the candidates found,
 and retains those that reach the overlap of their sizes. No list is cut off and no candidate dropped.
 """
@@ -33,6 +34,8 @@ _SLICE = (1 << COUNTER_BITS) // SLICES
 SALTS = 256
 #: Shingles of a block's texts, on average at most, and what a step from one class of sizes to the next multiplies sizes by.
 BLOCK_SHINGLES, CLASS_STEP = 250_000, 1.1
+#: Open lists of up to so many postings are taken apart into pairs; longer ones are compared by blocks and classes of sizes.
+PAIRED = 16
 #: The weight of a probe against a merge that decides how many lists are long (DivideSkip).
 PROBE_COST = 0.0085
 
@@ -72,6 +75,24 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Whether an odd number of members falls on a place, a bit for each of at least twice as many places as members."""
+    places = 1 << max(3, (2 * len(s) - 1).bit_length())
+    count = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits(count.astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
+    """Whether sets of n and m members with the parities x and y may reach the similarity.
+
+    What both sets have cancels out, and each odd place of the rest takes a member of one set only: so the odd places are
+    at most as many as the members that aren't shared. The longer parity is folded to the places of the other.
+    """
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    odd = int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum(dtype=np.int64))
+    return odd <= n + m - 2 * -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
 def _pack(counts: np.ndarray) -> bytes:
     """Counters as bytes: places and values if few are set, else all, compressed."""
     at = np.flatnonzero(counts)
@@ -90,24 +111,24 @@ def _unpack(data: bytes, total: np.ndarray) -> None:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, n, key: digest of its set), and rows of counters (slice, counts) of its part."""
+    """A row for each document (doc_id, n, key: digest of its set, bits: its parity), and rows of counters (slice, counts) of its part."""
 
     def run(batches):
         counts, seen = np.zeros(1 << COUNTER_BITS, dtype=np.uint32), False
         for b in batches:
-            n, key = [], []
+            n, key, bits = [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t)
-                n.append(len(s)), key.append(_digest(s) if len(s) else None)
+                n.append(len(s)), key.append(_digest(s) if len(s) else None), bits.append(parity(s) if len(s) else None)
                 np.add.at(counts, (s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), np.uint32(1))
             seen = seen or any(n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if seen:
             packed = [_pack(counts[i * _SLICE : (i + 1) * _SLICE]) for i in range(SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names)
 
-    names = ["doc_id", "n", "key", "slice", "counts"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, slice int, counts binary")
+    names = ["doc_id", "n", "key", "bits", "slice", "counts"]
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, bits binary, slice int, counts binary")
 
 
 def levels(profiles: DataFrame) -> bytes:
@@ -204,8 +225,28 @@ def often_enough(a: str, b: str, times: str):
     return F.col(times) >= overlap - longer + 1
 
 
+def allowed(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The pairs (a, na, b, nb and other columns) whose parities let them reach the similarity; pairs must be checkpointed.
+
+    An id's texts of one size are tried one by one, so a pair may come several times.
+    """
+    ends = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    own = profiles.filter("slice is null").select("doc_id", "n", "key", "bits").join(maybe_broadcast(ends, ends.count()), "doc_id", "left_semi")
+    own = own.groupBy("doc_id", "n", "key").agg(F.first("bits").alias("bits"))
+    one, two = (own.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
+    names = pairs.columns
+
+    def run(batches):
+        for b in batches:
+            bits = ([np.frombuffer(x, dtype=np.uint8) for x in b.column(k).to_pylist()] for k in ("bitsa", "bitsb"))
+            mask = pa.array(map(may_reach, *bits, b.column("na").to_pylist(), b.column("nb").to_pylist()), pa.bool_())
+            yield b.select(names).filter(mask)
+
+    return pairs.join(one, ["a", "na"]).join(two, ["b", "nb"]).select(*names, "bitsa", "bitsb").mapInArrow(run, pairs.schema)
+
+
 def open_postings(lists: DataFrame) -> DataFrame:
-    """The postings (h, doc, n, times, comp) of lists that span components, each with its document's block.
+    """The postings (h, doc, n, times, comp) of lists that span components, each with its list's length c and its document's block.
 
     A document goes to the group of its largest list, where those that share passages meet; a group is dealt into as many
     blocks as its shingles fill.
@@ -215,7 +256,25 @@ def open_postings(lists: DataFrame) -> DataFrame:
     home = own.groupBy("doc", "n").agg(F.max(F.struct("c", "h")).alias("best")).select("doc", "n", F.col("best.h").alias("home"))
     parts = home.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
     block = F.xxhash64("home", F.pmod(F.xxhash64(F.lit("part"), "doc"), F.col("parts")))
-    return checkpointed(own.drop("c").join(home.join(parts, "home").select("doc", block.alias("block")), "doc"))
+    return checkpointed(own.join(home.join(parts, "home").select("doc", block.alias("block")), "doc"))
+
+
+def paired_meetings(postings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """meetings() of the pairs that share an open list of up to PAIRED postings.
+
+    The lists that a pair shares there are counted; of longer ones it shares at most as many as either text has.
+    """
+    short, more = postings.filter(F.col("c") <= PAIRED), postings.filter(F.col("c") > PAIRED).groupBy("doc", "n").agg(F.sum("times").alias("more"))
+    one, two = (short.select("h", *(["times"] if k == "a" else []), F.col("doc").alias(k), *[F.col(c).alias(f"{c}{k}") for c in ("n", "comp", "block")]) for k in "ab")
+    pairs = one.join(two, "h").filter("a < b and compa != compb").filter(close_sizes("na", "nb"))
+    pairs = pairs.groupBy("a", "na", "compa", "blocka", "b", "nb", "compb", "blockb").agg(F.sum("times").alias("c"))
+    for k in "ab":
+        pairs = pairs.join(more.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("more").alias(f"more{k}")), [k, f"n{k}"], "left")
+    most = F.col("c") + F.least(F.coalesce("morea", F.lit(0)), F.coalesce("moreb", F.lit(0)))
+    pairs = checkpointed(pairs.withColumn("most", most).filter(often_enough("na", "nb", "most")).select("a", "na", "compa", "blocka", "b", "nb", "compb", "blockb"))
+    pairs = checkpointed(allowed(pairs, profiles))
+    one, two = (pairs.select(F.col(k).alias("doc"), F.col(f"comp{k}").alias("comp"), F.col(f"block{k}").alias("x"), F.col(f"block{o}").alias("y")) for k, o in ("ab", "ba"))
+    return one.union(two).distinct()
 
 
 def meetings(postings: DataFrame) -> DataFrame:
@@ -290,9 +349,12 @@ def links_of_blocks(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], s
     return out
 
 
-def blockwise(docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """Links (a > b) between texts of different components that share a list, enough of them to join their components."""
-    met = checkpointed(meetings(postings))
+def blockwise(docs: DataFrame, postings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Links (a > b) between texts of different components that share a list, enough of them to join their components.
+
+    Texts that share no short list meet by the long ones alone, those that share one by paired_meetings().
+    """
+    met = checkpointed(paired_meetings(postings, profiles).union(meetings(postings.filter(F.col("c") > PAIRED))).distinct())
     found = sets_of(docs, checkpointed(met.select(F.col("doc").alias("doc_id")).distinct()))
     sides = met.select("doc", "comp", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("x") > F.col("y")).cast("int").alias("side"))
     cells = sides.join(found, sides["doc"] == found["id"]).select("x", "y", "side", "doc", "comp", "s")
@@ -379,12 +441,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
     posted = docs.select("doc_id", "text").join(maybe_broadcast(again, again.count()), "doc_id", "left_anti")
     lists = shared_lists(short_lists(posted, levels(profiles)))
     stars = lists.filter("doc != lead").filter(close_sizes("n", "lead_n")).groupBy(F.col("doc").alias("a"), F.col("lead").alias("b"), "n", "lead_n").agg(F.sum("times").alias("c"))
-    stars = stars.filter(often_enough("n", "lead_n", "c")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    stars = checkpointed(stars)
+    stars = checkpointed(stars.filter(often_enough("n", "lead_n", "c")).select("a", F.col("n").alias("na"), "b", F.col("lead_n").alias("nb")))
+    stars = checkpointed(allowed(stars, profiles).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     links = copies.union(probe(docs, stars))
     comp = checkpointed(components(links))
     marked = lists.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "n", "times", F.coalesce("comp", "doc").alias("comp"))
-    comp = components(links.union(blockwise(docs, open_postings(marked))))
+    comp = components(links.union(blockwise(docs, open_postings(marked), profiles)))
     return own.join(comp, own["doc_id"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 

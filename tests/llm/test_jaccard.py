@@ -144,3 +144,49 @@ def test_group_whose_texts_hardly_link(documents, monkeypatch):
     rows = [(i, " ".join([*passage[: rnd.randint(40, 60)], *(f"u{rnd.randrange(300)}" for _ in range(rnd.randint(8, 20)))])) for i in range(160)]
     got = {r.doc_id: r.component_id for r in jaccard.link_documents(documents(rows)).collect()}
     assert got == brute(rows)
+
+
+def test_parities_deny_no_partners():
+    rng = np.random.default_rng(7)
+    denied = 0
+    for _ in range(600):
+        pool = rng.integers(0, 1 << 64, int(rng.integers(1, 400)), dtype=np.uint64)
+        pool = np.unique(np.concatenate([pool, pool[: len(pool) // 3] + np.uint64(1 << 40)]))  # some fall on one place
+        a, b = (np.unique(rng.choice(pool, max(1, int(len(pool) * rng.uniform(0.5, 1))), replace=False)) for _ in "ab")
+        own = [np.frombuffer(jaccard.parity(x), dtype=np.uint8) for x in (a, b)]
+        links = 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+        assert jaccard.may_reach(*own, len(a), len(b)) or not links
+        denied += not jaccard.may_reach(*own, len(a), len(b))
+    assert denied > 200
+
+
+def test_sets_of_texts_that_share_half_are_not_moved(documents, monkeypatch):
+    """Pairs share two of three shingles, which is too little: no text's set has to be gathered to find that out.
+
+    Flat counters order shingles by hash alone, as the sketch's noise does in a large corpus.
+    """
+    moved, sets_of = [], jaccard.sets_of
+    monkeypatch.setattr(jaccard, "levels", lambda profiles: bytes(1 << jaccard.COUNTER_BITS))
+    monkeypatch.setattr(jaccard, "sets_of", lambda docs, ids: moved.append(ids.count()) or sets_of(docs, ids))
+    rows = [(2 * g + k, " ".join([*(f"g{g}-{i}" for i in range(120)), *(f"u{g}-{k}-{i}" for i in range(60))])) for g in range(30) for k in (0, 1)]
+    got = jaccard.link_documents(documents(rows)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 60
+    assert sum(moved) == 0
+
+
+@pytest.mark.parametrize("paired", [0, 5, 1000])
+def test_pairs_of_short_lists_and_blocks_of_long_ones(documents, monkeypatch, paired):
+    """Chains of texts, each cut from the one before, that share a passage with all: links run over lists of any length."""
+    found, blockwise = [], jaccard.blockwise
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    monkeypatch.setattr(jaccard, "blockwise", lambda *x: found.append(blockwise(*x)) or found[-1])
+    rnd, rows = random.Random(11), []
+    passage = [f"p{i}" for i in range(30)]
+    for g in range(8):
+        own = [f"g{g}-{i}" for i in range(200)]
+        rows += [(len(rows) + k, " ".join([*passage, *own[5 * k : 5 * k + 60]])) for k in range(24)]
+    rnd.shuffle(rows)
+    rows += [(1000, rows[0][1]), (1001, rows[0][1]), (1001, rows[50][1]), (None, rows[0][1])]
+    got = {r.doc_id: r.component_id for r in jaccard.link_documents(documents(rows)).collect() if r.doc_id is not None}
+    assert got == brute([r for r in rows if r[0] is not None])
+    assert found[0].count() > 0
