@@ -272,7 +272,7 @@ def paired_meetings(postings: DataFrame, profiles: DataFrame) -> DataFrame:
         pairs = pairs.join(more.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("more").alias(f"more{k}")), [k, f"n{k}"], "left")
     most = F.col("c") + F.least(F.coalesce("morea", F.lit(0)), F.coalesce("moreb", F.lit(0)))
     pairs = checkpointed(pairs.withColumn("most", most).filter(often_enough("na", "nb", "most")).select("a", "na", "compa", "blocka", "b", "nb", "compb", "blockb"))
-    pairs = checkpointed(allowed(pairs, profiles))
+    pairs = checkpointed(allowed(pairs, profiles), 500)
     one, two = (pairs.select(F.col(k).alias("doc"), F.col(f"comp{k}").alias("comp"), F.col(f"block{k}").alias("x"), F.col(f"block{o}").alias("y")) for k, o in ("ab", "ba"))
     return one.union(two).distinct()
 
@@ -442,7 +442,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     lists = shared_lists(short_lists(posted, levels(profiles)))
     stars = lists.filter("doc != lead").filter(close_sizes("n", "lead_n")).groupBy(F.col("doc").alias("a"), F.col("lead").alias("b"), "n", "lead_n").agg(F.sum("times").alias("c"))
     stars = checkpointed(stars.filter(often_enough("n", "lead_n", "c")).select("a", F.col("n").alias("na"), "b", F.col("lead_n").alias("nb")))
-    stars = checkpointed(allowed(stars, profiles).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    stars = checkpointed(allowed(stars, profiles).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 500)
     links = copies.union(probe(docs, stars))
     comp = checkpointed(components(links))
     marked = lists.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "n", "times", F.coalesce("comp", "doc").alias("comp"))
